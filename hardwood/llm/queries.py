@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .kneser_ney import held_out_scores
 from .ngram_join import ngram_jaccard_groups
+from .substring_dedup import substring_digests
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -16,5 +18,13 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_groups(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_ngram_jaccard_join": op3_ngram_jaccard_join}
+def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return held_out_scores(_read(spark, sf_dir, "documents"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_digests(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_ngram_jaccard_join, op8_kneser_ney, op9_substring_dedup)}
 ORACLE: dict[str, str] = {}
