@@ -2,22 +2,54 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from . import mixing, url_filter
+from .decontaminate import contamination
 from .kneser_ney import held_out_scores
+from .language_id import held_out_languages
+from .line_dedup import line_report
+from .mixing import mix_sources
 from .ngram_join import ngram_jaccard_groups
+from .quality_rules import judge_quality
+from .secret_scan import secret_digests
 from .substring_dedup import substring_digests
+from .url_filter import judge_urls
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return held_out_languages(_read(spark, sf_dir, "documents"))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_groups(_read(spark, sf_dir, "documents"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digests(_read(spark, sf_dir, "documents"))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_read(spark, sf_dir, "pages"))
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_read(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
+def op7_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_quality(_read(spark, sf_dir, "documents"), "doc_id")
+
+
 def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held_out_scores(_read(spark, sf_dir, "documents"))
 
@@ -26,5 +58,13 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_digests(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_ngram_jaccard_join, op8_kneser_ney, op9_substring_dedup)}
-ORACLE: dict[str, str] = {}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_ngram_jaccard_join, op4_secret_scan, op5_url_filter,
+                                   op6_source_mixing, op7_quality_cascade, op8_kneser_ney, op9_substring_dedup, op10_line_dedup)}
+QUERIES["pipeline"] = corpus_pipeline.run
+ORACLE: dict[str, str] = {"op5_url_filter": url_filter.SQL, "op6_source_mixing": mixing.SQL}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -106,8 +106,8 @@ def keep_allowed(pages: DataFrame, redirects: DataFrame | None = None, rules: tu
 
 # In the pages table no html names another url, so classes are those of the canonical form.
 SQL = r"""
-WITH u AS (SELECT page_id, url, strpos(url, '://') AS at FROM pages),
-p AS (SELECT page_id, coalesce(at, 0) > 0 AS ok,
+WITH u AS (SELECT page_id, url, strpos(url, '://') AS pos FROM pages),
+p AS (SELECT page_id, coalesce(pos, 0) > 0 AS ok,
         coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM u),
 r(kind, rule, h, p) AS (VALUES ('block','com/en/','com','/en/'), ('allow','example.com/en/7','example.com','/en/7'), ('block','net/de/','net','/de/'),
