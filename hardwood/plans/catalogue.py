@@ -1,6 +1,6 @@
 """Every registered query of the engine."""
 
-from . import quote_queries, window_queries  # noqa: F401
+from . import context_queries, metric_queries, quote_queries, window_queries  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
