@@ -79,7 +79,7 @@ def count_distribution() -> tuple:
     """Columns of the fitted count distribution of ``mean`` and ``variance``: Poisson up to 1.05 times the mean, else negative binomial."""
     poisson = F.col("variance") <= 1.05 * F.col("mean")
     n = F.when(~poisson, F.col("mean") * F.col("mean") / (F.col("variance") - F.col("mean")))
-    return F.when(poisson, "poisson").otherwise("negative_binomial").alias("family"), n.alias("size"), F.when(~poisson, n / (n + F.col("mean"))).alias("prob")
+    return F.when(poisson, "poisson").otherwise("negative_binomial").alias("family"), n.alias("size"), F.when(~poisson, F.col("mean") / F.col("variance")).alias("prob")
 
 
 def simulate(rows: DataFrame, least: int = 10_000, most: int = 100_000, margin: float = 0.01) -> DataFrame:

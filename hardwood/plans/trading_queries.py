@@ -65,7 +65,7 @@ def redistribution(spark, sf):
 
 @query("count_distributions", sql("game_logs", """s AS (SELECT player_id, AVG(points) AS mean, VAR_SAMP(points) AS variance FROM game_logs GROUP BY player_id HAVING COUNT(*) > 2)
 SELECT player_id, CASE WHEN variance <= 1.05 * mean THEN 'poisson' ELSE 'negative_binomial' END AS family, CASE WHEN NOT variance <= 1.05 * mean THEN mean * mean / (variance - mean) END AS size,
- CASE WHEN NOT variance <= 1.05 * mean THEN mean * mean / (variance - mean) / (mean * mean / (variance - mean) + mean) END AS prob FROM s"""))
+ CASE WHEN NOT variance <= 1.05 * mean THEN mean / variance END AS prob FROM s"""))
 def count_distributions(spark, sf):
     s = game_logs(spark, sf).groupBy("player_id").agg(F.avg("points").alias("mean"), F.var_samp("points").alias("variance"), F.count(F.lit(1)).alias("n")).where("n > 2")
     return s.select("player_id", *trading.count_distribution())
