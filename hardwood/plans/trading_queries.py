@@ -48,7 +48,7 @@ def allocation_softcap(spark, sf):
 
 
 @query("branch_enumeration", """WITH p AS (SELECT CAST(c_nationkey AS BIGINT) AS team_id, c_custkey AS player_id, (c_custkey % 9 + 1) / 10.0::DOUBLE AS p_play FROM customer), t AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY team_id ORDER BY abs(p_play - 0.5), player_id) - 1 AS i, 1 FROM p QUALIFY i < 6),
-b AS (SELECT unnest(range(0, 64)) AS branch), j AS (SELECT team_id, branch, i, p_play, (branch >> i) & 1 AS bit FROM t, b)
+b AS (SELECT unnest(range(0, 64)) AS branch), j AS (SELECT team_id, branch, i, p_play, (branch >> i) & 1 AS bit FROM t, b WHERE branch < (1 << (SELECT COUNT(*) FROM t u WHERE u.team_id = t.team_id)))
 SELECT team_id, branch, round(product(CASE WHEN bit = 1 THEN p_play ELSE 1 - p_play END), 9) AS probability, CAST(SUM(bit) AS BIGINT) AS n_playing FROM j GROUP BY team_id, branch""")
 def branch_enumeration(spark, sf):
     p = table(spark, sf, "customer").select(F.col("c_nationkey").cast("long").alias("team_id"), F.col("c_custkey").alias("player_id"), ((F.col("c_custkey") % 9 + 1) / 10.0).alias("p_play"))
