@@ -140,7 +140,7 @@ def removed_lines(documents: DataFrame, num: int = 8, den: int = 10) -> DataFram
     # what still lies apart in a bucket
     placed = distinct.select("id", "key", "doc_id", "place").join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     members = listed.select("band", "id").join(placed, "id")
-    mixed = members.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("m")).where("x < y and m > 2").select("band")
+    mixed = members.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band")
     members = materialize(members.join(mixed, "band"))
     discard(listed)
     if not members.isEmpty():

@@ -73,3 +73,22 @@ def test_edits_nulls_and_ties(docs, spark):
     odd = spark.createDataFrame([(None, "q\nq", 1, 7), (3, "q\nq", 1, 3), (3, "q\nq", 1, 3)], "doc_id long, text string, removed int, n_chars int")
     assert sorted((r.doc_id or 0, r.text, r.n_chars, r.removed) for r in dedup_lines(odd).collect()) == [(0, "q\nq", 7, 1), (3, "q", 1, 1), (3, "q", 1, 1)]
     assert line_report(df.where("false")).collect() == []
+
+
+def trio(seed):
+    """A line with 14 words of the third, a near copy of the third, and the third."""
+    rnd = random.Random(seed)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(2, 9)))
+    c = [word() for _ in range(24)]
+    b = list(c)
+    for _ in range(2):
+        b[rnd.randrange(24)] = word()
+    return [" ".join(x) for x in (c[:14] + [word() for _ in range(10)], b, c)]
+
+
+def test_near_copy_as_second_choice_and_with_few_equal_anchors(docs):
+    # seeds whose third line shares as many buckets of two with the first as with its near copy, and one pair with a band and two anchors in common
+    texts = [x for seed in (2182, 4332, 5921, 6165) for x in trio(seed)] + trio(4040)[1:]
+    want, links = brute(list(enumerate(texts)))
+    assert len(links) == 5
+    assert {r.doc_id: r.removed for r in line_report(docs(*texts)).collect() if r.removed} == want
