@@ -7,6 +7,7 @@ class of aliases: connected components over redirect and canonical-link edges. E
 * the url and its canonical form (scheme, ``www.``/``m.``, a trailing slash, ``.html``, query and
   fragment are what sites redirect away),
 * ``<link rel="canonical" href>`` and ``<meta http-equiv="refresh">`` targets found in the page's html,
+  relative ones resolved against its ``<base href>`` or else its url,
 * any further redirects given as a table ``(source, target)`` of urls.
 
 A class with an explicitly allowed member is allowed, else one with a blocked member is blocked, else
@@ -60,24 +61,53 @@ def canonical(host: Column, path: Column) -> Column:
 
 
 def links_in(html: Column) -> Column:
-    """Absolute urls that a page names as its canonical form or redirects to."""
+    """Targets, as written, that a page names as its canonical form or redirects to."""
     found = lambda p: F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(p), 1)
     return F.array_distinct(F.concat(
-        found(r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]*://[^"'\s>]*)"""),
-        found(r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\burl\s*=\s*["']?([^"'\s>]*://[^"'\s>]*)""")))
+        found(r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*?(?<![\w-])href\s*=\s*["']?\s*([^"'\s>]+)"""),
+        found(r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*?\burl\s*=\s*["']?\s*([^"'\s>]+)""")))
+
+
+def base_in(html: Column) -> Column:
+    """The target of a page's first ``<base href>``; empty if it has none."""
+    return F.coalesce(F.regexp_extract(html, r"""(?is)<base\b[^>]*?(?<![\w-])href\s*=\s*["']?\s*([^"'\s>]+)""", 1), F.lit(""))
+
+
+def _without_dots(path: Column) -> Column:
+    """A path that begins with ``/``, its segments ``.`` and ``..`` carried out."""
+    up = lambda s, x: F.when(x == "..", F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0)))).when(x == ".", s).otherwise(F.concat(s, F.array(x)))
+    parts = F.split(F.substring(path, 2, 2**31 - 1), "/", -1)
+    left = F.aggregate(parts, F.array().cast("array<string>"), up)
+    end = F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    return F.concat(F.lit("/"), F.array_join(F.concat(left, end), "/"))
+
+
+def resolve(target: Column, host: Column, path: Column) -> tuple[Column, Column]:
+    """Host and path of a target that stands in a page at ``host`` and ``path``; nulls for ``mailto:`` and its like."""
+    own = F.regexp_extract(target, r"(?s)^([^?#]*)", 1)
+    folder = F.regexp_replace(path, r"[^/]*$", "")
+    joined = F.when(own.startswith("/"), own).otherwise(F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), own))
+    whole = target.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://")
+    other = F.concat(F.lit(":"), target)
+    to_host = F.when(whole, host_of(target)).when(target.startswith("//"), host_of(other)).when(~target.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), host)
+    to_path = F.when(whole, path_of(target)).when(target.startswith("//"), path_of(other)).when(own == "", path).otherwise(_without_dots(joined))
+    return to_host, to_path
 
 
 def judge_urls(pages: DataFrame, redirects: DataFrame | None = None, rules: tuple = RULES) -> DataFrame:
     """``(page_id, host, path, rule, verdict, alias)`` per row; alias is the smallest url of its class (null without ``://``)."""
     url = F.col("url").cast("string")
     rows = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), F.instr(url, "://").alias("_at"),
-                        links_in(F.col("html").cast("string")).alias("_links"))
+                        links_in(F.col("html").cast("string")).alias("_links"), base_in(F.col("html").cast("string")).alias("_base"))
     node = canonical(F.col("host"), F.col("path"))
     rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
-    rows = rows.select("page_id", "host", "path", F.when(F.col("_at") > 0, node).alias("node"), rule.alias("rule"), verdict.alias("own"), "_links")
+    rows = rows.select("page_id", "host", "path", F.when(F.col("_at") > 0, node).alias("node"), rule.alias("rule"), verdict.alias("own"), "_links", "_base")
     rows = materialize(rows)
     to_node = lambda c: canonical(host_of(c), path_of(c))
-    edges = rows.where("size(_links) > 0 and node is not null").select(F.col("node").alias("a"), F.explode("_links").alias("t")).select("a", to_node(F.col("t")).alias("b"))
+    base = [F.coalesce(x, y) for x, y in zip(resolve(F.col("_base"), F.col("host"), F.col("path")), (F.col("host"), F.col("path")), strict=True)]
+    linked = rows.where("size(_links) > 0 and node is not null").select("node", base[0].alias("host"), base[1].alias("path"), F.explode("_links").alias("t"))
+    linked = linked.select(F.col("node").alias("a"), *[x.alias(k) for k, x in zip(("host", "path"), resolve(F.col("t"), F.col("host"), F.col("path")), strict=True)])
+    edges = linked.where("host is not null").select("a", canonical(F.col("host"), F.col("path")).alias("b"))
     named = edges.select(F.col("b").alias("node"))
     if redirects is not None:
         more = redirects.where("source like '%://%' and target like '%://%'").select("source", "target")
@@ -93,7 +123,7 @@ def judge_urls(pages: DataFrame, redirects: DataFrame | None = None, rules: tupl
         v = fitting_rule(at, p, rules)[1]
         decided = decided.unionByName(o.distinct().select("node", v.alias("v")).where("v is not null").select("node", (F.col("v") == "allow").alias("allow"), (F.col("v") == "block").alias("block")))
     decided = decided.join(classes, "node", "left").groupBy(F.coalesce("class", "node").alias("class")).agg(F.max("allow").alias("allow"), F.max("block").alias("block"))
-    out = rows.drop("_links").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")).join(decided, "class", "left")
+    out = rows.drop("_links", "_base").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")).join(decided, "class", "left")
     return out.select("page_id", "host", "path", "rule", F.when(F.col("own").isNotNull(), F.col("own")).when(F.col("allow"), "allow").when(F.col("block"), "block").otherwise("allow").alias("verdict"),
                       F.col("class").alias("alias"))
 

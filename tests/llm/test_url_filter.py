@@ -20,3 +20,16 @@ def test_rules_aliases_and_edges(spark):
     assert {r.verdict for r in judge_urls(df, more).collect() if r.host == "e.test"} == {"block"}
     assert {r.page_id for r in keep_allowed(df).collect()} == {2, 4, 5, 10, 11, 12}
     assert judge_urls(df.where("false")).collect() == []
+
+
+def test_relative_targets(spark):
+    link = lambda t: f'<link rel="canonical" href="{t}">'
+    hop = lambda t: f"<meta http-equiv=refresh content='0; url={t}'>"
+    bad = "http://a.org/es/"  # blocked; the others take their decision from the page that they name
+    rows = [(1, bad + "1", ""), (2, bad + "x", link("/p/1?q")), (3, "http://a.org/p/1", ""), (4, bad + "y", link("//Q.test/b/c")), (5, "https://q.test/b/c.html", ""), (6, bad + "dir/z", link("../../p/./2/")),
+            (7, "http://a.org/p/2", ""), (8, "http://r.test/d/e", hop("f?url=g")), (9, "http://r.test/d/f", link("mailto:x@y")), (10, "http://r.test/g", link(" //a.org/es/k")), (11, "http://r.test", link("#top") + hop("g")),
+            (12, "http://s.test/u/v", "<base href='//a.org/es/w/'>" + link("x")), (13, "http://s.test/x", ""), (14, "http://t.test/a", link("b?u=http://a.org/es/1")), (15, "http://t.test/b", ""), (16, "no scheme", link("/es/1"))]
+    got = {r.page_id: r for r in judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {k for k, r in got.items() if r.verdict == "block"} == {1, 2, 3, 4, 5, 6, 7, 10, 11, 12}
+    same = lambda *k: len({got[x].alias for x in k}) == 1
+    assert same(2, 3) and same(4, 5) and same(6, 7) and same(8, 9) and same(10, 11) and same(14, 15) and not same(12, 13) and not same(14, 1)
