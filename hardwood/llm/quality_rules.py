@@ -30,6 +30,8 @@ _DIGIT[48:58] = True
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(0xC0, 0x100)]] = True  # lead bytes stand for letters beyond ASCII
 
+_LEAD = (np.arange(256) & 0xC0) != 0x80  # one byte of each character
+
 
 class Texts:
     """A batch of texts with what rules measure; each measure is worked out for the asked rows only."""
@@ -45,6 +47,11 @@ class Texts:
     def per_text(self, flags: np.ndarray) -> np.ndarray:
         return np.diff(np.concatenate([[0], np.cumsum(flags)])[self.words.text_at])
 
+    def word_sizes(self) -> np.ndarray:
+        """Characters of each word."""
+        before = np.concatenate([[0], np.cumsum(_LEAD[self.words.data])])
+        return before[self.words.end] - before[self.words.start]
+
     def base(self) -> dict[str, np.ndarray]:
         w = self.words
         solid = ~_SPACE[w.data]
@@ -83,7 +90,7 @@ Rule = Callable[[Texts, np.ndarray], np.ndarray]
 
 def _share(flags: np.ndarray, most: float | None = None, least: float | None = None) -> Rule:
     def reject(t: Texts, rows: np.ndarray) -> np.ndarray:
-        s = np.array([flags[x].sum() / max((~_SPACE[x]).sum(), 1) for x in t.of(rows)])
+        s = np.array([flags[x].sum() / max((~_SPACE[x] & _LEAD[x]).sum(), 1) for x in t.of(rows)])
         return s > most if most is not None else s < least
 
     return reject
@@ -91,14 +98,14 @@ def _share(flags: np.ndarray, most: float | None = None, least: float | None = N
 
 def _word_length(t: Texts, rows: np.ndarray) -> np.ndarray:
     w = t.words
-    size = np.concatenate([[0], np.cumsum(w.end - w.start)])[w.at]
+    size = np.concatenate([[0], np.cumsum(t.word_sizes())])[w.at]
     mean = np.diff(size)[rows] / np.maximum(t.n_words[rows], 1)
     return (mean < 2) | (mean > 20)
 
 
 def _long_word(t: Texts, rows: np.ndarray) -> np.ndarray:
-    w = t.words
-    return np.array([w.at[r + 1] > w.at[r] and (w.end[w.at[r] : w.at[r + 1]] - w.start[w.at[r] : w.at[r + 1]]).max() > 1000 for r in rows], bool)
+    at, size = t.words.at, t.word_sizes()
+    return np.array([at[r + 1] > at[r] and size[at[r] : at[r + 1]].max() > 1000 for r in rows], bool)
 
 
 def _one_word(t: Texts, rows: np.ndarray) -> np.ndarray:

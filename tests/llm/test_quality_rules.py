@@ -47,3 +47,18 @@ def test_order_never_changes_the_verdict():
     t = Texts(pa.array(["good words here " * 9, "1234 " * 30, "$$ " * 30, "w" * 2000, "the " * 20]))
     want = cascade(t, np.arange(5), list(RULES)).tolist()
     assert want == [0] and all(cascade(t, np.arange(5), list(RULES)[k:] + list(RULES)[:k]).tolist() == want for k in range(len(RULES)))
+
+
+def test_clean_texts_of_other_scripts():
+    hindi = "आज सुबह बाजार में बहुत भीड़ थी और लोग ताजे फल तथा सब्जियां खरीद रहे थे"
+    korean = "오늘 아침 시장에는 사람이 매우 많았고 모두 신선한 과일과 채소를 사려고 줄을 서서 기다리고 있었다"
+    long = " ".join(["대한민국헌법재판소결정문"] + [f"국제연합교육과학문화기구{k}" for k in range(11)])  # words of 12 to 14 characters, over 36 bytes
+    longest = "한" * 900 + " " + hindi * 20
+    bad = ["한" * 1001 + " " + hindi * 20, "한글" + "7" * 3 + " " + "7 8 9 " * 9, "글# $ % " * 12]
+    t = Texts(pa.array([hindi, korean, long, longest, *bad]))
+    assert cascade(t, np.arange(7), list(RULES)).tolist() == [0, 1, 2, 3]
+
+
+def test_other_scripts_are_kept(docs):
+    texts = ["दिल्ली में कल शाम से तेज बारिश हो रही है और सड़कों पर पानी भर गया है", "어제 저녁부터 서울에는 비가 많이 내렸고 도로마다 물이 차서 차들이 아주 천천히 움직였다", "7 " * 30]
+    assert [r.doc_id for r in keep_good(docs(*texts)).orderBy("doc_id").collect()] == [0, 1]
