@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -107,39 +108,59 @@ def simulate(rows: DataFrame, least: int = 10_000, most: int = 100_000, margin:
     return rows.select("quote_id", "mean", "variance", "line").mapInPandas(go, "quote_id long, over_probability double, sample_mean double, boom double, draws long")
 
 
-def parlays(legs: DataFrame, group: str, size: int = 3, draws: int = 12_000, top: int = 20) -> DataFrame:
-    """Greedy parlays of ``size`` legs of different players and markets per book, with a joint probability by Gaussian copula.
+def compose(player: list, game: list, market: list, size: int) -> list[int]:
+    """Places of the first legs that make a parlay of ``size``: new markets and games first, repeats only as they are needed, no player twice; empty unless two games or more take part."""
+    chosen, players, games, markets = [], set(), Counter(), Counter()
+    repeats = max(2, -(-size // len(set(market))))
+    fresh = lambda i: games[game[i]] == 0
+    phases = (lambda i: markets[market[i]] == 0 and fresh(i), fresh, lambda i: markets[market[i]] == 0, lambda i: markets[market[i]] < repeats, lambda i: True)
+    for fits in phases:
+        for i in range(len(player)):
+            if len(chosen) < size and player[i] not in players and fits(i):
+                chosen.append(i)
+                players.add(player[i])
+                games[game[i]] += 1
+                markets[market[i]] += 1
+    return chosen if len(chosen) == size and len(games) > 1 else []
 
-    Legs: ``leg_id, player_id, game_id, p, price``; a book's board is cut to its best legs before it is grouped.
+
+def parlays(legs: DataFrame, group: str, least: int = 3, most: int = 20, draws: int = 12_000, top: int = 20) -> DataFrame:
+    """Greedy parlays of ``least`` to ``most`` legs per book, the ``top`` of each leg count, with a joint probability by Gaussian copula.
+
+    Legs: ``leg_id, player_id, game_id, market_key, line_value, p, price``. Of equal legs the one of most profit counts.
+    A book's board is cut to its best legs, once by probability, by profit and by edge, before it is grouped; :func:`compose` chooses from each place of each order.
     """
-    w = Window.partitionBy(group).orderBy(F.desc(F.col("p") * F.col("price")), "leg_id")
-    board = legs.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= 60)
+    p, profit, edge = F.col("p"), F.col("p") * F.col("price") - 1, F.col("p") - 1 / F.col("price")
+    one = legs.groupBy(group, "game_id", "player_id", "market_key", "line_value").agg(F.max_by(F.struct("leg_id", "p", "price"), F.struct(profit, -F.col("leg_id"))).alias("leg"))
+    one = one.select(group, "game_id", "player_id", "market_key", "leg.*")
+    orders = F.array(*[F.struct(F.lit(k).alias("order"), F.array(*by).alias("by")) for k, by in enumerate(((p, profit, edge), (profit, edge, p), (edge, profit, p)))])
+    ordered = one.withColumn("_o", F.explode(orders)).select("*", "_o.order", "_o.by").drop("_o")
+    w = Window.partitionBy(group, "order").orderBy(F.desc("by"), "leg_id")
+    board = ordered.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= 60).drop("by")
+    board = board.withColumn("leg_count", F.explode(F.sequence(F.lit(least), F.lit(most))))
 
     def build(b: pd.DataFrame) -> pd.DataFrame:
         from statistics import NormalDist
 
-        b = b.sort_values("_k")
-        seen, out = set(), []
-        for start in range(len(b)):
-            combo = []
-            for i in range(start, len(b)):
-                if all(b.player_id.iat[i] != b.player_id.iat[j] for j in combo):
-                    combo.append(i)
-                if len(combo) == size:
-                    break
-            ids = tuple(sorted(b.leg_id.iloc[combo]))
-            if len(combo) < size or ids in seen:
-                continue
-            seen.add(ids)
-            same = b.game_id.iloc[combo].to_numpy()[:, None] == b.game_id.iloc[combo].to_numpy()[None, :]
-            corr = np.where(same, 0.15, 0.0)
-            np.fill_diagonal(corr, 1.0)
-            z = np.random.default_rng(int(sum(ids)) & 0xFFFFFFFF).standard_normal((draws, size)) @ np.linalg.cholesky(corr).T
-            cut = np.array([NormalDist().inv_cdf(min(max(p, 1e-6), 1 - 1e-6)) for p in b.p.iloc[combo]])
-            joint = float((z <= cut).all(1).mean())
-            price = float(np.prod(b.price.iloc[combo]))
-            out.append((b[group].iat[0], ",".join(map(str, ids)), joint, price, joint * price - 1))
-        return pd.DataFrame(sorted(out, key=lambda r: -r[4])[:top], columns=[group, "legs", "joint_probability", "price", "expected_value"])
+        size, seen, out = int(b.leg_count.iat[0]), set(), []
+        for _, o in b.sort_values("_k").groupby("order"):
+            player, game, market = (o[c].tolist() for c in ("player_id", "game_id", "market_key"))
+            for start in range(len(o) - size + 1):
+                c = o.iloc[[start + i for i in compose(player[start:], game[start:], market[start:], size)]]
+                ids = tuple(sorted(c.leg_id.tolist()))
+                if not ids or ids in seen:
+                    continue
+                seen.add(ids)
+                c = c.sort_values("leg_id")
+                same = c.game_id.to_numpy()[:, None] == c.game_id.to_numpy()[None, :]
+                corr = np.where(same, 0.15, 0.0)
+                np.fill_diagonal(corr, 1.0)
+                z = np.random.default_rng(int(sum(ids)) & 0xFFFFFFFF).standard_normal((draws, size)) @ np.linalg.cholesky(corr).T
+                cut = np.array([NormalDist().inv_cdf(min(max(x, 1e-6), 1 - 1e-6)) for x in c.p])
+                joint = float((z <= cut).all(1).mean())
+                price = float(np.prod(c.price))
+                out.append((b[group].iat[0], size, ",".join(map(str, ids)), joint, price, joint * price - 1))
+        return pd.DataFrame(sorted(out, key=lambda r: (-r[5], r[2]))[:top], columns=[group, "leg_count", "legs", "joint_probability", "price", "expected_value"])
 
     kind = board.schema[group].dataType.simpleString()
-    return board.groupBy(group).applyInPandas(build, f"{group} {kind}, legs string, joint_probability double, price double, expected_value double")
+    return board.groupBy(group, "leg_count").applyInPandas(build, f"{group} {kind}, leg_count int, legs string, joint_probability double, price double, expected_value double")

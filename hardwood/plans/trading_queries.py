@@ -74,13 +74,13 @@ def count_distributions(spark, sf):
 @query("simulate_props")
 def simulate_props(spark, sf):
     s = game_logs(spark, sf).groupBy("player_id").agg(F.avg("points").alias("mean"), F.var_samp("points").alias("variance"), F.count(F.lit(1)).alias("n")).where("n > 2 and mean > 0")
-    return trading.simulate(s.select(F.col("player_id").alias("quote_id"), "mean", F.greatest("variance", "mean").alias("variance"), (F.floor("mean") + 0.5).alias("line")), least=2_000)
+    return trading.simulate(s.select(F.col("player_id").alias("quote_id"), "mean", F.greatest("variance", "mean").alias("variance"), (F.floor("mean") + 0.5).alias("line")))
 
 
 @query("parlays")
 def parlays(spark, sf):
     q = quotes(spark, sf).where("over_odds is not null")
-    legs = q.select("sportsbook_id", F.col("snapshot_id").alias("leg_id"), "player_id", "game_id", (0.35 + F.col("snapshot_id") % 40 / 100.0).alias("p"), F.when(F.col("over_odds") > 0, 1 + F.col("over_odds") / 100).otherwise(1 - 100 / F.col("over_odds")).alias("price"))
+    legs = q.select("sportsbook_id", F.col("snapshot_id").alias("leg_id"), "player_id", "game_id", "market_key", "line_value", (0.35 + F.col("snapshot_id") % 40 / 100.0).alias("p"), F.when(F.col("over_odds") > 0, 1 + F.col("over_odds") / 100).otherwise(1 - 100 / F.col("over_odds")).alias("price"))
     return trading.parlays(legs, "sportsbook_id")
 
 
