@@ -1,6 +1,6 @@
 """Every registered query of the engine."""
 
-from . import context_queries, metric_queries, quote_queries, trading_queries, window_queries  # noqa: F401
+from . import availability_queries, context_queries, metric_queries, quote_queries, trading_queries, window_queries  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

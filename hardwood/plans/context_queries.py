@@ -3,18 +3,11 @@
 from pyspark.sql import functions as F
 
 from hardwood.operators import context as C
-from hardwood.sources.roles import game_logs, injuries, quotes, sql, table
+from hardwood.sources.roles import game_logs, quotes, sql, table
 
 from .registry import query
 
 
-@query("availability_context", sql("game_logs injuries", """j AS (SELECT g.player_id, g.game_id, i.status, i.report_ts, i.report_id FROM game_logs g LEFT JOIN injuries i ON i.player_id = g.player_id AND i.report_ts <= g.start_time + INTERVAL 3650 DAY)
-SELECT player_id, game_id, COUNT(*) FILTER (WHERE status = 'out') AS n_out, COUNT(*) FILTER (WHERE status = 'doubtful') AS n_doubtful, COUNT(*) FILTER (WHERE status = 'questionable') AS n_questionable,
- COUNT(*) FILTER (WHERE status = 'available') AS n_available, arg_max(status, report_ts) AS latest_status, COALESCE(arg_max(status, report_ts) IN ('out', 'doubtful'), false) AS flag FROM j GROUP BY player_id, game_id"""))
-def availability_context(spark, sf):
-    return C.availability(game_logs(spark, sf), injuries(spark, sf))
-
-
 @query("opponent_disruption", sql("game_logs", """p AS (SELECT team_id, game_date, AVG(CASE WHEN starter THEN 0.0 ELSE 1.0 END) AS v FROM game_logs GROUP BY ALL)
 SELECT g.player_id, g.game_id, COALESCE(p.v, 0.0) AS opponent_instability FROM game_logs g LEFT JOIN p ON p.team_id = g.opponent_team_id AND p.game_date = g.game_date"""))
 def opponent_disruption(spark, sf):
@@ -59,12 +52,14 @@ def shadow_compare(spark, sf):
     return C.compare_keys(side(0), side(1), keys, "v")
 
 
-@query("merge_upsert", sql("quotes", """o AS (SELECT player_id, market_key, arg_min(line_value, ts) AS line_value FROM quotes WHERE snapshot_id % 2 = 0 GROUP BY ALL), n AS (SELECT player_id, market_key, arg_max(line_value, ts) AS line_value FROM quotes WHERE snapshot_id % 5 = 1 GROUP BY ALL)
+@query("merge_upsert", sql("quotes", """c AS (SELECT MIN(ts) + (MAX(ts) - MIN(ts)) / 2 AS cut FROM quotes), o AS (SELECT player_id, market_key, arg_max(line_value, ts) AS line_value FROM quotes, c WHERE ts <= cut GROUP BY ALL), n AS (SELECT player_id, market_key, arg_max(line_value, ts) AS line_value FROM quotes, c WHERE ts > cut GROUP BY ALL)
 SELECT player_id, market_key, COALESCE(n.line_value, o.line_value) AS line_value FROM o FULL JOIN n USING (player_id, market_key)"""))
 def merge_upsert(spark, sf):
     q = quotes(spark, sf)
-    old = q.where("snapshot_id % 2 = 0").groupBy("player_id", "market_key").agg(F.min_by("line_value", "ts").alias("line_value"))
-    return C.upsert(old, q.where("snapshot_id % 5 = 1").select("player_id", "market_key", "line_value", F.col("ts").alias("seq")), ["player_id", "market_key"])
+    cut = q.agg((F.min("ts") + (F.max("ts") - F.min("ts")) / 2).alias("cut"))
+    q = q.crossJoin(F.broadcast(cut))
+    old = q.where("ts <= cut").groupBy("player_id", "market_key").agg(F.max_by("line_value", "ts").alias("line_value"))
+    return C.upsert(old, q.where("ts > cut").select("player_id", "market_key", "line_value", F.col("ts").alias("seq")), ["player_id", "market_key"])
 
 
 @query("board_date", sql("quotes", """d AS (SELECT DISTINCT CAST(timezone('America/New_York', timezone('UTC', ts)) AS DATE) AS d FROM quotes), p AS (SELECT CAST(timezone('America/New_York', timezone('UTC', MIN(ts) + INTERVAL 30 DAY)) AS DATE) AS want FROM quotes)

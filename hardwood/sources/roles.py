@@ -6,7 +6,7 @@ SQL text for comparison. ``sql(name, ...)`` strings the texts of the views a que
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -63,6 +63,28 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.pmod(k, F.lit(20)) + 4.5).alias("line"), F.col("points").cast("double").alias("actual"), "is_home")
 
 
+def teammates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Players numbered within their team from 0, with the size of the team."""
+    w = Window.partitionBy("c_nationkey")
+    return table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("team_id"), F.col("c_custkey").alias("player_id"),
+                                                   (F.row_number().over(w.orderBy("c_custkey")) - 1).alias("i"), F.count(F.lit(1)).over(w).alias("n"))
+
+
+def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Availability reports on a team's players for a game, up to four a game, from three days before to a day after its start."""
+    k = F.col("event_id")
+    e = table(spark, sf_dir, "events").select(k.alias("report_id"), (k - k % 4).alias("game_id"), F.col("value").alias("expected_minutes"))
+    g = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("game_id"), "o_custkey", "o_orderdate")
+    g = g.join(table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("team_id")), F.col("o_custkey") == F.col("c_custkey"))
+    t = teammates(spark, sf_dir).withColumnRenamed("team_id", "of")
+    r = e.join(g, "game_id").join(t, (F.col("team_id") == F.col("of")) & (F.col("report_id") % F.col("n") == F.col("i")))
+    k = F.col("report_id")
+    words = F.array(*[F.lit(x) for x in ("out", "doubtful", "Questionable", "available", "Inactive")])
+    return r.select("report_id", "game_id", "team_id", "player_id", (F.col("player_id") % 5 + 1).cast("string").alias("position"),
+                    (F.col("o_orderdate") + F.make_dt_interval(hours=(k % 97 - 72).cast("int"))).alias("report_ts"), F.element_at(words, (k % 5 + 1).cast("int")).alias("status"),
+                    "expected_minutes", (k % 2 == 0).alias("projected_starter"), (k % 11 == 0).alias("official_inactive"))
+
+
 VIEWS = {
     "game_logs": """game_logs AS (
   SELECT o.o_custkey AS player_id, o.o_orderkey AS game_id, CAST(c.c_nationkey AS BIGINT) AS team_id,
@@ -86,8 +108,13 @@ VIEWS = {
     CAST((game_id * 37 + player_id * 11) % 97 AS DOUBLE) / 100.0 + 0.01 AS p, CASE WHEN points > 12 THEN 1 ELSE 0 END AS y,
     CAST(game_id % 20 AS DOUBLE) + 4.5 AS line, CAST(points AS DOUBLE) AS actual, is_home
   FROM game_logs)""",
+    "teammates": """teammates AS (SELECT CAST(c_nationkey AS BIGINT) AS team_id, c_custkey AS player_id, ROW_NUMBER() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS i, COUNT(*) OVER (PARTITION BY c_nationkey) AS n FROM customer)""",
+    "reports": """reports AS (
+  SELECT e.event_id AS report_id, o.o_orderkey AS game_id, t.team_id, t.player_id, CAST(t.player_id % 5 + 1 AS VARCHAR) AS position, o.o_orderdate + to_hours(CAST(e.event_id % 97 - 72 AS INTEGER)) AS report_ts,
+    (['out','doubtful','Questionable','available','Inactive'])[event_id % 5 + 1] AS status, e.value AS expected_minutes, e.event_id % 2 = 0 AS projected_starter, e.event_id % 11 = 0 AS official_inactive
+  FROM events e JOIN orders o ON o.o_orderkey = e.event_id - e.event_id % 4 JOIN customer c ON c.c_custkey = o.o_custkey JOIN teammates t ON t.team_id = c.c_nationkey AND t.i = e.event_id % t.n)""",
 }
-NEEDS = {"predictions": ("game_logs",)}
+NEEDS = {"predictions": ("game_logs",), "reports": ("teammates",)}
 
 
 def sql(views: str, body: str) -> str:
