@@ -2,21 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import unicodedata
+from functools import cache
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Accented Latin letters and what they are folded to.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿčćđšžğışł"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyccdszgisl"
+# Suffixes that are no part of a name.
 SUFFIXES = ("jr", "sr", "ii", "iii", "iv", "v")
 
 
+@cache
+def _folds() -> tuple[str, str]:
+    """Lower-case letters that compatibility decomposition turns into one ASCII letter, and that letter; then what it removes."""
+    letters, plain, gone = [], [], []
+    for code in range(0x80, 0x1F00):
+        c = chr(code)
+        folded = "".join(x for x in unicodedata.normalize("NFKD", c) if ord(x) < 128)
+        if len(folded) == 1 and folded.isalnum():
+            letters.append(c)
+            plain.append(folded.lower())
+        elif not folded:
+            gone.append(c)
+    return "".join(letters + gone), "".join(plain)
+
+
 def normalize_name(name: Column) -> Column:
-    """Lower case without accents, punctuation and suffixes, words joined by one space."""
-    words = F.split(F.trim(F.regexp_replace(F.translate(F.lower(name), ACCENTED, PLAIN), "[^a-z0-9]+", " ")), " +")
+    """Lower case without accents, punctuation and suffixes, words joined by one space; letters without an ASCII form go."""
+    plain = F.regexp_replace(F.translate(F.lower(name), *_folds()), r"[^\x00-\x7f]", "")
+    words = F.split(F.trim(F.regexp_replace(plain, "[^a-z0-9]+", " ")), " +")
     return F.array_join(F.filter(words, lambda w: ~w.isin(*SUFFIXES)), " ")
 
 
+def resolve_names(wanted: DataFrame, known: DataFrame, least: float) -> DataFrame:
+    """``(entity_id, player_id, confidence)``: equal names first, else the most similar of ``least`` or more by edit distance.
+
+    Similar names are sought among those with the same last four letters, so no name meets all others.
+    """
+    exact = wanted.join(known, "name").groupBy("entity_id").agg(F.min("player_id").alias("player_id")).withColumn("confidence", F.lit(1.0))
+    block = F.right("name", F.lit(4))
+    rest = wanted.join(exact.select("entity_id"), "entity_id", "left_anti").select("entity_id", F.col("name").alias("a"), block.alias("block"))
+    near = rest.join(known.select("player_id", F.col("name").alias("b"), block.alias("block")), "block")
+    score = 1 - F.levenshtein("a", "b") / F.greatest(F.length("a"), F.length("b"))
+    best = near.withColumn("score", score).where(F.col("score") >= least).groupBy("entity_id").agg(F.max(F.struct("score", (-F.col("player_id")).alias("p"))).alias("m"))
+    return exact.unionByName(best.select("entity_id", (-F.col("m.p")).alias("player_id"), F.col("m.score").alias("confidence")))
+
+
 def clock_minutes(text: Column) -> Column:
     """``MM:SS`` or plain minutes as minutes; null if neither."""
     return F.coalesce(F.try_divide(F.regexp_extract(text, r"^(\d+):(\d+)$", 2).try_cast("double"), F.lit(60.0)) + F.regexp_extract(text, r"^(\d+):", 1).try_cast("double"), text.try_cast("double"))

@@ -51,3 +51,15 @@ def shrunk_offsets(rows: DataFrame, strength: float = 20.0, least: int = 5) -> D
     prior = rows.groupBy("market").agg(F.avg("over").alias("prior"))
     g = rows.join(F.broadcast(prior), "market").groupBy("player_id").agg(F.count(F.lit(1)).alias("n"), F.avg("over").alias("raw"), F.avg("prior").alias("prior")).where(F.col("n") >= least)
     return g.select("player_id", "n", F.round(0.5 - (F.col("n") * F.col("raw") + strength * F.col("prior")) / (F.col("n") + strength), 4).alias("offset"))
+
+
+def midrank(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """``rows`` with ``pit``: the share of the key's values below each value plus half the share equal to it.
+
+    Values are counted before they are ranked, so a key's window holds its different values only.
+    """
+    c = rows.groupBy(key, value).agg(F.count(F.lit(1)).alias("_k"))
+    w = Window.partitionBy(key)
+    r = c.select(key, value, F.col("_k"), (F.sum("_k").over(w.orderBy(value)) - F.col("_k")).alias("_lt"), F.sum("_k").over(w).alias("_n"))
+    pit = (F.col("_lt") + 0.5 * F.col("_k")) / F.col("_n")
+    return rows.join(r, [key, value]).withColumn("pit", F.least(F.greatest(pit, F.lit(1e-6)), F.lit(1 - 1e-6))).drop("_k", "_lt", "_n")

@@ -44,36 +44,47 @@ def allocate(rows: DataFrame, group: str, weight: str, budget: float, cap: float
     return d.drop("open")
 
 
-def branches(players: DataFrame, group: str, most: int = 8) -> DataFrame:
-    """All 2^n combinations of up to ``most`` doubtful players (likeliest to miss first) with their probabilities."""
-    w = Window.partitionBy(group).orderBy(F.abs(F.col("p_play") - 0.5), "player_id")
-    top = players.withColumn("i", F.row_number().over(w) - 1).where(F.col("i") < most)
-    g = top.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("i", "player_id", "p_play"))).alias("who"))
-    b = g.select(group, "who", F.explode(F.sequence(F.lit(0), F.pow(F.lit(2), F.size("who")).cast("int") - 1)).alias("branch"))
-    bit = lambda i: F.pmod(F.floor(F.col("branch") / F.pow(F.lit(2), i)), F.lit(2))
-    p = F.aggregate("who", F.lit(1.0), lambda s, x: s * F.when(bit(x["i"]) == 1, x["p_play"]).otherwise(1 - x["p_play"]))
-    n = F.aggregate("who", F.lit(0).cast("long"), lambda s, x: s + bit(x["i"]).cast("long"))
-    return b.select(group, F.col("branch").cast("long").alias("branch"), p.alias("probability"), n.alias("n_playing"))
+def branches(players: DataFrame, group: str, exact: int = 8, draws: int = 2048, seed: str = "branch") -> DataFrame:
+    """Who plays: all 2^n combinations with their probabilities for groups of up to ``exact`` players, else ``draws`` sampled ones over all players.
+
+    A sampled branch's draws follow a hash of group, branch and player, so they depend on neither partitions nor
+    re-runs; (branch, player) rows are aggregated per branch, so a large group spreads over all tasks.
+    """
+    sized = players.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(group)))
+    small = sized.where(F.col("_n") <= exact)
+    g = small.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("player_id", "p_play"))).alias("who"))
+    b = g.select(group, "who", F.explode(F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), F.size("who")) - 1)).alias("branch"))
+    bit = lambda i: F.call_function("shiftright", F.col("branch"), i).bitwiseAND(1)
+    who = F.zip_with("who", F.sequence(F.lit(0), F.size("who") - 1), lambda x, i: F.struct(x["p_play"].alias("p"), bit(i).alias("in")))
+    p = F.aggregate(who, F.lit(1.0), lambda s, x: s * F.when(x["in"] == 1, x["p"]).otherwise(1 - x["p"]))
+    n = F.aggregate(who, F.lit(0).cast("long"), lambda s, x: s + x["in"].cast("long"))
+    full = b.select(group, F.col("branch").cast("long").alias("branch"), p.alias("probability"), n.alias("n_playing"))
+    drawn = sized.where(F.col("_n") > exact).withColumn("branch", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col(group).cast("string"), F.col("branch").cast("string"), F.col("player_id").cast("string"))), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+    drawn = drawn.groupBy(group, F.col("branch").cast("long").alias("branch")).agg(F.count(F.when(u < F.col("p_play"), 1)).alias("n_playing"))
+    return full.unionByName(drawn.select(group, "branch", F.lit(1.0 / draws).alias("probability"), "n_playing"))
 
 
 def redistribute(roster: DataFrame, cap: float = 48.0) -> DataFrame:
-    """Minutes of the absent go to the others of a team in proportion to their weight, none over ``cap``, until none is left or all are full.
+    """Minutes of the absent go to the others of a team in proportion to their weight, none over the cap, until none is left or all are full.
 
-    Rows: ``game_id, team_id, player_id, minutes, weight, absent``; a team's roster is small.
+    Rows: ``game_id, team_id, player_id, minutes, weight, absent`` and, if there, ``cap`` per player. Sharing out
+    what is left again and again ends at one level: everyone has weight times level or is full. Ordered by room over
+    weight, a player is full if all are served up to that player's own level; two running sums tell.
     """
-
-    def fill(team: pd.DataFrame) -> pd.DataFrame:
-        minutes, weight, away = (team[c].to_numpy() for c in ("minutes", "weight", "absent"))
-        new, pool = np.where(away, 0.0, minutes.astype(float)), float(minutes[away].sum())
-        while pool > 1e-9:
-            can = ~away & (new < cap - 1e-9) & (weight > 0)
-            if not can.any():
-                break
-            room = np.minimum(pool * np.where(can, weight, 0) / weight[can].sum(), np.where(can, cap - new, 0))
-            new, pool = new + room, pool - room.sum()
-        return team[["game_id", "team_id", "player_id"]].assign(new_minutes=new, unplaced=pool)
-
-    return roster.groupBy("game_id", "team_id").applyInPandas(fill, "game_id long, team_id long, player_id long, new_minutes double, unplaced double")
+    top = F.coalesce(F.col("cap"), F.lit(cap)) if "cap" in roster.columns else F.lit(cap)
+    w = Window.partitionBy("game_id", "team_id")
+    away = F.col("absent")
+    d = roster.select("game_id", "team_id", "player_id", "absent", F.col("minutes").cast("double").alias("minutes"), F.when(~away, F.greatest(top - F.col("minutes"), F.lit(0.0))).otherwise(0.0).alias("room"), F.col("weight").cast("double").alias("weight"))
+    d = d.withColumn("open", ~away & (F.col("weight") > 0) & (F.col("room") > 1e-9)).withColumn("pool", F.sum(F.when(away, F.col("minutes")).otherwise(0.0)).over(w))
+    room, weight = F.when(F.col("open"), F.col("room")).otherwise(0.0), F.when(F.col("open"), F.col("weight")).otherwise(0.0)
+    before = w.orderBy(F.when(F.col("open"), F.col("room") / F.col("weight")).otherwise(-1.0), "player_id").rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumns({"r0": F.coalesce(F.sum(room).over(before), F.lit(0.0)), "w0": F.sum(weight).over(w) - F.coalesce(F.sum(weight).over(before), F.lit(0.0))})
+    d = d.withColumn("full", F.col("open") & (F.col("r0") + F.col("room") / F.col("weight") * F.col("w0") <= F.col("pool")))
+    used = F.sum(F.when(F.col("full"), F.col("room")).otherwise(0.0)).over(w)
+    free = F.sum(F.when(F.col("open") & ~F.col("full"), F.col("weight")).otherwise(0.0)).over(w)
+    gain = F.when(F.col("full"), F.col("room")).when(F.col("open"), F.col("weight") * F.try_divide(F.col("pool") - used, free)).otherwise(0.0)
+    return d.select("game_id", "team_id", "player_id", F.when(away, 0.0).otherwise(F.col("minutes") + gain).alias("new_minutes"), F.when(free > 0, 0.0).otherwise(F.greatest(F.col("pool") - used, F.lit(0.0))).alias("unplaced"))
 
 
 def count_distribution() -> tuple:

@@ -1,5 +1,6 @@
 """Ledger, allocation, branches, redistribution, simulation, models and text rows over the role views."""
 
+from pyspark import StorageLevel
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -47,19 +48,27 @@ def allocation_softcap(spark, sf):
     return trading.allocate(g, "team_id", "w", 100.0).select("team_id", "game_id", "player_id", F.round("stake", 6).alias("stake"))
 
 
-@query("branch_enumeration", """WITH p AS (SELECT CAST(c_nationkey AS BIGINT) AS team_id, c_custkey AS player_id, (c_custkey % 9 + 1) / 10.0::DOUBLE AS p_play FROM customer), t AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY team_id ORDER BY abs(p_play - 0.5), player_id) - 1 AS i, 1 FROM p QUALIFY i < 6),
-b AS (SELECT unnest(range(0, 64)) AS branch), j AS (SELECT team_id, branch, i, p_play, (branch >> i) & 1 AS bit FROM t, b WHERE branch < (1 << (SELECT COUNT(*) FROM t u WHERE u.team_id = t.team_id)))
-SELECT team_id, branch, round(product(CASE WHEN bit = 1 THEN p_play ELSE 1 - p_play END), 9) AS probability, CAST(SUM(bit) AS BIGINT) AS n_playing FROM j GROUP BY team_id, branch""")
+@query("branch_enumeration", """WITH p AS (SELECT CAST(c_nationkey AS BIGINT) AS team_id, c_custkey AS player_id, (c_custkey % 9 + 1) / 10.0::DOUBLE AS p_play, COUNT(*) OVER (PARTITION BY c_nationkey) AS n FROM customer),
+t AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY team_id ORDER BY player_id) - 1 AS i FROM p WHERE n <= 8), b AS (SELECT unnest(range(0, 256)) AS branch), j AS (SELECT team_id, branch, i, p_play, (branch >> i) & 1 AS bit FROM t, b WHERE branch < (1 << n)),
+d AS (SELECT unnest(range(0, 2048)) AS branch)
+SELECT team_id, branch, round(product(CASE WHEN bit = 1 THEN p_play ELSE 1 - p_play END), 9) AS probability, CAST(SUM(bit) AS BIGINT) AS n_playing FROM j GROUP BY team_id, branch
+UNION ALL SELECT team_id, branch, round(1.0::DOUBLE / 2048, 9), COUNT(*) FILTER (WHERE CAST('0x' || md5('branch|' || team_id || '|' || branch || '|' || player_id)[1:13] AS BIGINT) / 4503599627370496.0 < p_play) FROM p, d WHERE n > 8 GROUP BY team_id, branch""")
 def branch_enumeration(spark, sf):
     p = table(spark, sf, "customer").select(F.col("c_nationkey").cast("long").alias("team_id"), F.col("c_custkey").alias("player_id"), ((F.col("c_custkey") % 9 + 1) / 10.0).alias("p_play"))
-    return trading.branches(p, "team_id", 6).withColumn("probability", F.round("probability", 9))
+    return trading.branches(p, "team_id").withColumn("probability", F.round("probability", 9))
 
 
-@query("redistribution")
+@query("redistribution", sql("game_logs", """r AS (SELECT date_diff('day', DATE '1990-01-01', game_date) AS game_id, team_id, player_id, least(minutes, 40.0)::DOUBLE AS minutes, points::DOUBLE AS weight, player_id % 4 = 0 AS absent, 48.0::DOUBLE - player_id % 3 AS cap, game_id AS g FROM game_logs),
+o AS (SELECT *, CASE WHEN absent THEN 0 ELSE greatest(cap - minutes, 0) END AS room, SUM(CASE WHEN absent THEN minutes ELSE 0 END) OVER (PARTITION BY game_id, team_id) AS pool FROM r),
+q AS (SELECT *, NOT absent AND weight > 0 AND room > 1e-9 AS op FROM o),
+l AS (SELECT a.game_id, a.team_id, MAX(CASE WHEN f.used <= a.pool THEN a.room / a.weight END) AS lvl FROM q a, LATERAL (SELECT SUM(least(b.weight * a.room / a.weight, b.room)) AS used FROM q b WHERE b.game_id = a.game_id AND b.team_id = a.team_id AND b.op) f WHERE a.op GROUP BY ALL),
+s AS (SELECT q.*, op AND room / weight <= COALESCE(lvl, -1) AS fll FROM q LEFT JOIN l USING (game_id, team_id)),
+z AS (SELECT *, SUM(CASE WHEN fll THEN room ELSE 0 END) OVER (PARTITION BY game_id, team_id) AS used, SUM(CASE WHEN op AND NOT fll THEN weight ELSE 0 END) OVER (PARTITION BY game_id, team_id) AS free FROM s)
+SELECT game_id, team_id, player_id, CASE WHEN absent THEN 0 WHEN fll THEN minutes + room WHEN op THEN minutes + weight * (pool - used) / free ELSE minutes END::DOUBLE AS new_minutes, CASE WHEN free > 0 THEN 0 ELSE greatest(pool - used, 0) END::DOUBLE AS unplaced FROM z"""))
 def redistribution(spark, sf):
     g = game_logs(spark, sf)
     day = F.datediff("game_date", F.lit("1990-01-01")).cast("long")
-    r = g.select(day.alias("game_id"), "team_id", "player_id", F.least(F.col("minutes"), F.lit(40.0)).alias("minutes"), F.col("points").cast("double").alias("weight"), (F.col("player_id") % 4 == 0).alias("absent"))
+    r = g.select(day.alias("game_id"), "team_id", "player_id", F.least(F.col("minutes"), F.lit(40.0)).alias("minutes"), F.col("points").cast("double").alias("weight"), (F.col("player_id") % 4 == 0).alias("absent"), (48.0 - F.col("player_id") % 3).alias("cap"))
     return trading.redistribute(r)
 
 
@@ -91,10 +100,13 @@ def calibrate(spark, sf):
 
 @query("boosted_means")
 def boosted_means(spark, sf):
-    f = windows.recent_features(game_logs(spark, sf)).join(game_logs(spark, sf).select("player_id", "game_id", "points", "game_date"), ["player_id", "game_id"])
-    cut = f.agg(F.percentile(F.unix_date("game_date"), F.lit(0.7)).cast("int")).first()[0]
+    w = windows.by("player_id")
+    mean = lambda c, n: F.coalesce(windows.rolling_mean(F.col(c).cast("double"), w, n), F.avg(F.col(c).cast("double")).over(windows.before(w)), F.lit(0.0))
     names = ["points_avg_5", "points_avg_20", "minutes_avg_10"]
+    f = game_logs(spark, sf).select("player_id", "game_id", "points", "game_date", *[mean(c, n).alias(k) for k, (c, n) in zip(names, (("points", 5), ("points", 20), ("minutes", 10)), strict=True)])
+    f = f.persist(StorageLevel.MEMORY_AND_DISK)  # the cut, both fits and the scoring read this one frame
     day = F.unix_date("game_date")
+    cut = f.agg(F.percentile(day, F.lit(0.7)).cast("int")).first()[0]
     return models.boosted_means(f.where(day < cut), f.where(day >= cut), names, "points").select("player_id", "game_id", "mean", "variance")
 
 
