@@ -40,10 +40,11 @@ def thresholds(rows: DataFrame, cuts: tuple[float, ...]) -> DataFrame:
 
 
 def pit_ks(values: DataFrame, by: str) -> DataFrame:
-    """Kolmogorov-Smirnov distance of values in [0, 1] from uniform."""
-    w = Window.partitionBy(by).orderBy("v", "id")
-    r = values.select(by, "v", F.row_number().over(w).alias("i"), F.count(F.lit(1)).over(Window.partitionBy(by)).alias("n"))
-    return r.groupBy(by).agg(F.max(F.greatest(F.col("i") / F.col("n") - F.col("v"), F.col("v") - (F.col("i") - 1) / F.col("n"))).alias("ks"), F.first("n").alias("n"))
+    """Kolmogorov-Smirnov distance of values in [0, 1] from uniform; equal values are counted before they are ranked."""
+    c = values.groupBy(by, "v").agg(F.count(F.lit(1)).alias("k"))
+    w = Window.partitionBy(by)
+    r = c.select(by, "v", "k", F.sum("k").over(w.orderBy("v")).alias("i"), F.sum("k").over(w).alias("n"))
+    return r.groupBy(by).agg(F.max(F.greatest(F.col("i") / F.col("n") - F.col("v"), F.col("v") - (F.col("i") - F.col("k")) / F.col("n"))).alias("ks"), F.first("n").alias("n"))
 
 
 def shrunk_offsets(rows: DataFrame, strength: float = 20.0, least: int = 5) -> DataFrame:

@@ -37,18 +37,22 @@ def rolling_std(x: Column, w, n: int) -> Column:
     return at_least(x, F.stddev_samp(x).over(f), f, 3)
 
 
-def ewm(x: Column, w, span: int = 10) -> Column:
-    """Exponentially weighted mean of the earlier rows; a null only lets the old weight decay.
+def ewm(rows: DataFrame, x: Column, name: str, key: str = "player_id", span: int = 10, reach: int = 200) -> DataFrame:
+    """``rows`` with the exponentially weighted mean of the earlier rows' ``x``; a null only lets the old weight decay.
 
-    The state is (value, weight); frames of a recursion cannot be shared, so it folds a list of the
-    player's earlier games, whose size a season bounds.
+    Between known values the mean is ``y + c (x - y)`` with c from the steps passed, so each takes at least
+    ``a = 2 / (span + 1)`` off what was before: the last ``reach`` of them leave (1 - a)^reach of the rest, below a
+    double's precision, and a row folds no more, however long the history.
     """
     a = 2.0 / (span + 1)
-    fold = lambda s, v: F.when(v.isNull(), F.struct(s["v"].alias("v"), (s["w"] * (1 - a)).alias("w"))).when(
-        s["v"].isNull(), F.struct(v.alias("v"), F.lit(1.0).alias("w"))).otherwise(F.struct(
-            ((s["w"] * (1 - a) * s["v"] + a * v) / (s["w"] * (1 - a) + a)).alias("v"), F.lit(1.0).alias("w")))
-    history = F.collect_list(F.struct(x.cast("double").alias("x"))).over(before(w))
-    return F.aggregate(history, F.struct(F.lit(None).cast("double").alias("v"), F.lit(0.0).alias("w")), lambda s, e: fold(s, e["x"]), lambda s: s["v"])
+    w = Window.partitionBy(key)
+    d = rows.withColumns({"_x": x.cast("double"), "_n": F.row_number().over(by(key))})
+    d = d.withColumn("_last", F.max(F.when(F.col("_x").isNotNull(), F.col("_n"))).over(w.orderBy("_n").rowsBetween(Window.unboundedPreceding, -1)))
+    known = d.where("_x is not null").select(key, "_n", "_x", F.pow(F.lit(1 - a), F.col("_n") - F.lag("_n").over(w.orderBy("_n"))).alias("_old"))
+    steps = F.collect_list(F.struct(F.coalesce(a / (F.col("_old") + a), F.lit(1.0)).alias("c"), "_x")).over(w.orderBy("_n").rowsBetween(1 - reach, 0))
+    y = F.aggregate(steps, F.lit(None).cast("double"), lambda s, e: F.when(s.isNull(), e["_x"]).otherwise(s + e["c"] * (e["_x"] - s)))
+    known = known.select(F.col(key), F.col("_n").alias("_last"), y.alias(name))
+    return d.join(known, [key, "_last"], "left").select(*rows.columns, name)
 
 
 def recent_features(games: DataFrame, metrics: tuple[str, ...] = ("minutes", "points")) -> DataFrame:

@@ -69,7 +69,7 @@ def player_bias(spark, sf):
 @query("pit_ks", sql("predictions", """r AS (SELECT market, p AS v, ROW_NUMBER() OVER (PARTITION BY market ORDER BY p, game_id, player_id) AS i, COUNT(*) OVER (PARTITION BY market) AS n FROM predictions)
 SELECT market, MAX(greatest(CAST(i AS DOUBLE) / n - v, v - CAST(i - 1 AS DOUBLE) / n)) AS ks, any_value(n) AS n FROM r GROUP BY market"""))
 def pit_ks(spark, sf):
-    return M.pit_ks(predictions(spark, sf).select("market", F.col("p").alias("v"), F.struct("game_id", "player_id").alias("id")), "market")
+    return M.pit_ks(predictions(spark, sf).select("market", F.col("p").alias("v")), "market")
 
 
 @query("sufficiency_tiers", sql("game_logs", """r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY player_id ORDER BY game_date DESC, start_time DESC, game_id DESC) AS k FROM game_logs),

@@ -49,7 +49,7 @@ def ewm_10(spark, sf):
     from pyspark.sql import functions as F
 
     x = F.when(F.col("game_id") % 9 != 0, F.col("points"))
-    return game_logs(spark, sf).select("player_id", "game_id", W.ewm(x, W.by("player_id")).alias("points_ewm_10"))
+    return W.ewm(game_logs(spark, sf), x, "points_ewm_10").select("player_id", "game_id", "points_ewm_10")
 
 
 @query("dnp_anomalies", sql("game_logs", f"""m AS (SELECT player_id, game_id, minutes,
