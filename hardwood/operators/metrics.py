@@ -50,7 +50,7 @@ def pit_ks(values: DataFrame, by: str) -> DataFrame:
 def shrunk_offsets(rows: DataFrame, strength: float = 20.0, least: int = 5) -> DataFrame:
     """Per player 0.5 minus the over rate shrunk to the markets' rates."""
     prior = rows.groupBy("market").agg(F.avg("over").alias("prior"))
-    g = rows.join(F.broadcast(prior), "market").groupBy("player_id").agg(F.count(F.lit(1)).alias("n"), F.avg("over").alias("raw"), F.avg("prior").alias("prior")).where(F.col("n") >= least)
+    g = rows.join(prior, "market").groupBy("player_id").agg(F.count(F.lit(1)).alias("n"), F.avg("over").alias("raw"), F.avg("prior").alias("prior")).where(F.col("n") >= least)
     return g.select("player_id", "n", F.round(0.5 - (F.col("n") * F.col("raw") + strength * F.col("prior")) / (F.col("n") + strength), 4).alias("offset"))
 
 

@@ -69,12 +69,15 @@ def closing_lines(quotes: DataFrame) -> DataFrame:
 def training_flags(quotes: DataFrame, minutes: int = 5) -> DataFrame:
     """Marks per game, book, player and market the newest quote strictly before the game's start less ``minutes``.
 
-    The start is the newest quote's ``k`` in the game's json, in days after the first quote; games without one use all rows.
+    The start is ``event_start`` of the game's newest quote that has one; of games without one all quotes may be marked.
+    One aggregation per game and one per key; Spark broadcasts the games only if they are small.
     """
-    g = quotes.groupBy("game_id").agg(F.max("ts").alias("start"))
-    q = quotes.join(F.broadcast(g), "game_id").withColumn("ok", F.col("ts") < F.col("start") - F.expr(f"interval {minutes} minutes"))
-    w = Window.partitionBy("game_id", "sportsbook_id", "player_id", "market_key").orderBy(F.desc("ok"), F.desc("ts"), F.desc("snapshot_id"))
-    return q.select("snapshot_id", (F.col("ok") & (F.row_number().over(w) == 1)).alias("is_training_quote"))
+    start = F.max_by("event_start", F.when(F.col("event_start").isNotNull(), F.struct("ts", "snapshot_id")))
+    q = quotes.join(quotes.groupBy("game_id").agg(start.alias("start")), "game_id")
+    ok = F.col("start").isNull() | (F.col("ts") < F.col("start") - F.expr(f"interval {minutes} minutes"))
+    keys = ["game_id", "sportsbook_id", "player_id", "market_key"]
+    best = q.where(ok).groupBy(*keys).agg(F.max_by("snapshot_id", F.struct("ts", "snapshot_id")).alias("best"))
+    return quotes.join(best, keys, "left").select("snapshot_id", F.coalesce(F.col("snapshot_id") == F.col("best"), F.lit(False)).alias("is_training_quote"))
 
 
 def odds_wide(quotes: DataFrame, markets: tuple[str, ...]) -> DataFrame:

