@@ -3,41 +3,53 @@
 Only DataFrame functions. Lines are the ``\\n``-separated parts of a text without white space at their
 ends; blank lines take no part. Equal lines are one (by md5) before anything else.
 
-* **Signature.** The character shingles of ``SKETCH`` characters that begin at a word are hashed and sorted.
-  From each of ``ANCHORS`` fixed places in the hash range the nearest hashes on one side are MinHash values
-  (the least distance to a place is a permutation's minimum), so one sort gives them all.
-* **Banding.** ``ANCHORS`` bands of the three nearest. With all shingles 0.8 alike about 0.7 of those
-  at word starts agree, and a pair misses all bands in about one case of thirty; at 0.9 in none of 5000.
-* **Candidates.** Each line is tried against the smallest line of the bucket it shares most often; only members of a bucket that
-  then still lie in different components meet each other, inside a join whose condition bounds their difference
-  from below by parity bitmaps of all their shingles: no pair within the threshold is lost, few others come out.
+* **Signature.** The distinct hashes of a line's character shingles lie on a ring. The next ``ROWS``
+  (three, five) hashes clockwise of each of ``ANCHORS`` fixed places are MinHash values (the least distance to a place is
+  a permutation's minimum), so one sort gives them all; they are real hashes only, so lines that have
+  nothing in common share no band. Lines of ``FEW[0]`` words or more are sketched by the ``SKETCH``
+  characters from each word on, lines of up to ``FEW[1]`` words (and so text without spaces) by all their
+  shingles of ``SHINGLE`` characters, those between by both.
+* **Banding.** A band is the hash of an anchor's values. With all shingles 0.8 alike about 0.7
+  of those at word starts agree, and a pair misses all bands in about one case of thirty; at 0.9 in none
+  of 5000. A pair of which one line has over ``FEW[1]`` words and the other under ``FEW[0]`` is missed.
+* **Candidates.** Each line is tried against the smallest line of every bucket it is in (a bucket of two has
+  no other pair). Only the other members of a bucket that then still lie in different components meet each
+  other, inside a join whose condition bounds their difference from below by parity bitmaps of all their
+  shingles, larger ones for longer lines: no pair within the threshold is lost, few others come out.
 * **Verification.** Jaccard of all character shingles of ``SHINGLE`` characters, exact, ``num/den`` or more.
 * **Union-find** over the verified links; each component keeps its first line by ``(doc_id, place)``.
 
 A null text has no lines. Rows with a null ``doc_id`` are kept whole and are no source for others. Rows
 that share a ``doc_id`` are alike to the rule: places kept or removed hold for each. Extra columns are
-ignored (kept by :func:`dedup_lines`).
+ignored (kept by :func:`dedup_lines`, whatever their names).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
 from .storage import discard, materialize
 
-SHINGLE, SKETCH, ROWS = 5, 10, 3
-#: Places inside the range of hashes; with the two ends there are twice as many anchors and two more.
-INNER = (-(1 << 62), 0, 1 << 62)
-ANCHORS, LIKE = 2 * len(INNER) + 2, 3
-#: Longs of a parity bitmap.
-LANES = 8
-#: Broadcast candidate documents up to this many; more are shuffled.
-BROADCAST_DOCS = 200_000
+SHINGLE, SKETCH, ANCHORS = 5, 10, 8
+#: Values of a band, of sketches by words and by characters (whose short shingles say less each).
+ROWS = (3, 5)
+#: Lines of at least so many words are sketched at word starts, of at most so many at every character.
+FEW = (8, 14)
+#: Places on the ring of signed 64-bit hashes.
+PLACES = tuple(-(1 << 63) + k * ((1 << 64) // ANCHORS) for k in range(ANCHORS))
+#: Longs and shingles of the smallest parity bitmap; each next class has twice as many of both.
+LANES, CLASS = 16, 512
+#: Broadcast up to so many keys (16 bytes) or bands (8 bytes); more are shuffled.
+BROADCAST_KEYS = 500_000
 WHITE = " \t\n\x0b\x0c\r"
 
 
+def _few(df: DataFrame, count: int) -> DataFrame:
+    return F.broadcast(df) if count <= BROADCAST_KEYS else df
+
+
 def _split(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
@@ -46,121 +58,150 @@ def _key(line: Column) -> Column:
     return F.unhex(F.md5(line))
 
 
-def hashes(line: Column) -> Column:
-    """Sorted hashes of the shingles that begin at a word, with the inner places among them."""
-    pieces = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(\S.{{0,{SKETCH - 1}}}))\S+"), 1)
-    return F.sort_array(F.concat(F.transform(pieces, lambda s: F.xxhash64(s)), F.array(*[F.lit(x).cast("long") for x in INNER])))
-
-
-def bands(s: Column) -> tuple[Column, Column]:
-    """Of sorted hashes: a key for each band, and the nearest hash at each anchor."""
-    near = [F.slice(s, 1, ROWS), F.slice(s, F.greatest(F.size(s) - ROWS + 1, F.lit(1)), ROWS)]
-    for x in INNER:
-        at = F.array_position(s, F.lit(x).cast("long")).cast("int")
-        near += [F.slice(s, at + 1, ROWS), F.slice(s, F.greatest(at - ROWS, F.lit(1)), F.least(F.lit(ROWS), at - 1))]
-    first = [F.get(x, F.lit(0)) if k % 2 == 0 else F.try_element_at(x, F.lit(-1)) for k, x in enumerate(near)]
-    return F.array(*[F.xxhash64(F.lit(k), x) for k, x in enumerate(near)]), F.array(*first)
+def _hashes(strings: Column) -> Column:
+    return F.array_distinct(F.transform(strings, lambda s: F.xxhash64(s)))
 
 
 def shingles(line: Column) -> Column:
     """Hashes of the distinct character shingles of a line; a shorter line is its own."""
     cut = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), 1)
-    return F.when(F.length(line) < SHINGLE, F.array(F.xxhash64(line))).otherwise(F.array_distinct(F.transform(cut, lambda s: F.xxhash64(s))))
+    return F.when(F.length(line) < SHINGLE, F.array(F.xxhash64(line))).otherwise(_hashes(cut))
+
+
+def sketches(lines: DataFrame, *columns: str) -> DataFrame:
+    """The given columns and the bands ``b0, b1, ...`` of ``line``; a line with two sketches has a second row that is not ``main``."""
+    pieces = F.regexp_extract_all("line", F.lit(rf"(?s)(?=(\S.{{0,{SKETCH - 1}}}))\S+"), 1)
+    words = F.size("_pieces")
+    d = lines.select(*columns, "line", pieces.alias("_pieces"))
+    d = d.select(*columns, F.when(words >= FEW[0], F.sort_array(_hashes(F.col("_pieces")))).alias("_w"), F.when(words <= FEW[1], F.sort_array(shingles(F.col("line")))).alias("_c"))
+    one = lambda main, s, rows: F.struct(F.lit(main).alias("main"), F.col(s).alias("s"), F.lit(rows).alias("rows"))
+    both = F.when(F.col("_c").isNull(), F.array(one(True, "_w", ROWS[0]))).when(F.col("_w").isNull(), F.array(one(True, "_c", ROWS[1])))
+    d = d.select(*columns, F.explode(both.otherwise(F.array(one(True, "_w", ROWS[0]), one(False, "_c", ROWS[1])))).alias("_x")).select(*columns, "_x.main", F.col("_x.s").alias("_s"), F.col("_x.rows").alias("_rows"))
+    places = F.array(*[F.lit(p).cast("long") for p in PLACES])
+    d = d.select(*columns, "main", "_s", "_rows", F.sort_array(F.concat("_s", places)).alias("_marked"), F.concat("_s", F.slice("_s", 1, max(ROWS) - 1)).alias("_ring"))
+    # hashes below each place; plain columns are compiled, and small enough for the machine's compiler without the bands
+    below = lambda k: ((F.array_position("_marked", F.lit(PLACES[k]).cast("long")) - 1 - k) % F.size("_s")).cast("int")
+    d = d.select(*columns, "main", "_s", "_rows", "_ring", F.array(*[below(k) for k in range(ANCHORS)]).alias("_at"))
+    own = lambda at: F.xxhash64(*[F.get("_ring", at + F.least(F.lit(i), F.col("_rows") - 1)) for i in range(max(ROWS))])  # noqa: E731  the last one again where there are fewer rows
+    d = d.select(*columns, "main", F.when(F.size("_s") > F.col("_rows"), F.transform("_at", own)).otherwise(F.array_repeat(F.xxhash64("_s"), ANCHORS)).alias("_bands"))
+    return d.select(*columns, "main", *[F.get("_bands", F.lit(k)).alias(f"b{k}") for k in range(ANCHORS)])
 
 
 def _occurrences(documents: DataFrame) -> DataFrame:
-    """``(doc_id, place, line)`` of all lines that are not blank."""
+    """``(doc_id, place, line, key)`` of all lines that are not blank."""
     rows = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(_split(F.col("text").cast("string"))).alias("place", "line"))
-    return rows.select("doc_id", "place", F.btrim("line", F.lit(WHITE)).alias("line")).where("line <> ''")
-
-
-def _agree() -> Column:
-    """Whether the nearest hashes of p and q agree at enough anchors."""
-    return sum((F.when(F.col("p.sig")[i].eqNullSafe(F.col("q.sig")[i]), 1).otherwise(0) for i in range(ANCHORS)), F.lit(0)) >= LIKE
+    rows = rows.select("doc_id", "place", F.btrim("line", F.lit(WHITE)).alias("line")).where("line <> ''")
+    return rows.withColumn("key", _key(F.col("line")))
 
 
 def _texts(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(key, line)`` of the wanted ``(key, doc_id, place)``."""
-    by_doc = materialize(wanted.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("key", "place")).alias("wanted")))
-    chosen = F.broadcast(by_doc) if by_doc.count() <= BROADCAST_DOCS else by_doc
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), _split(F.col("text").cast("string")).alias("lines")).join(chosen, "doc_id")
-    rows = rows.select("lines", F.explode("wanted").alias("w")).select("w.key", F.btrim(F.get("lines", F.col("w.place")), F.lit(WHITE)).alias("line"))
-    lines = materialize(rows.where(_key(F.col("line")) == F.col("key")).dropDuplicates(["key"]))
-    discard(by_doc)
+    """``(id, key, line)`` of the wanted ``(id, key, doc_id)``; a line is wanted from one document."""
+    wanted = materialize(wanted.groupBy("doc_id").agg(F.collect_list("key").alias("wanted")))
+    keys = wanted.agg(F.coalesce(F.sum(F.size("wanted")), F.lit(0))).first()[0]
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(_few(wanted, keys), "doc_id")
+    rows = rows.select("wanted", F.explode(_split(F.col("text"))).alias("line")).select("wanted", F.btrim("line", F.lit(WHITE)).alias("line"))
+    rows = rows.withColumn("key", _key(F.col("line"))).where(F.array_contains("wanted", F.col("key")))
+    lines = materialize(rows.select(F.xxhash64("key").alias("id"), "key", "line").dropDuplicates(["key"]))
+    discard(wanted)
     return lines
 
 
-def _marks(lines: DataFrame) -> DataFrame:
-    """``(key, size, bits)``: how many shingles a line has, and for each bit of the bitmap whether an odd number falls there."""
-    h = lines.select("key", F.explode(shingles(F.col("line"))).alias("h"))
-    bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
-    lane = F.shiftrightunsigned("h", 64 - (LANES - 1).bit_length())
-    lanes = [F.bit_xor(F.when(lane == k, bit).otherwise(F.lit(0).cast("long"))) for k in range(LANES)]
-    return h.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.array(*lanes).alias("bits"))
+def _spread(df: DataFrame) -> DataFrame:
+    """Evenly over all tasks: verification costs much more than its bytes tell."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def _near(num: int, den: int) -> Column:
-    """False only if p and q differ in more shingles than the threshold lets them."""
-    differ = sum((F.bit_count(F.col("p.bits")[k].bitwiseXOR(F.col("q.bits")[k])) for k in range(LANES)), F.lit(0))
-    return differ * (num + den) <= (F.col("p.size") + F.col("q.size")) * (den - num)
-
-
-def _verified(pairs: DataFrame, lines: DataFrame, num: int, den: int) -> DataFrame:
-    """Of pairs of keys ``(a, b)``, those whose lines reach the threshold."""
-    both = pairs.join(lines.select(F.col("key").alias("a"), F.col("line").alias("x")), "a").join(lines.select(F.col("key").alias("b"), F.col("line").alias("y")), "b")
-    spread = both.repartition(pairs.sparkSession.sparkContext.defaultParallelism)
-    both = spread.select("a", "b", shingles(F.col("x")).alias("x"), shingles(F.col("y")).alias("y"))
+def _verified(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
+    """Of pairs of ids ``(a, b)``, the keys of those whose lines reach the threshold."""
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.struct("key", "line").alias("p")), "a").join(texts.select(F.col("id").alias("b"), F.struct("key", "line").alias("q")), "b")
+    both = _spread(both.select("p", "q")).select(F.col("p.key").alias("a"), F.col("q.key").alias("b"), shingles(F.col("p.line")).alias("x"), shingles(F.col("q.line")).alias("y"))
     both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("c"), (F.size("x") + F.size("y")).alias("t"))
     return both.where(F.col("c") * den >= (F.col("t") - F.col("c")) * num).select("a", "b")
 
 
-def removed_lines(documents: DataFrame, num: int = 8, den: int = 10) -> DataFrame:
-    """``(doc_id, removed)``: sorted places of lines that another line stands for, where there are any."""
-    lines = _occurrences(documents)
-    sketched = lines.select("doc_id", "place", _key(F.col("line")).alias("key"), hashes(F.col("line")).alias("h"))
-    keys, nearest = bands(F.col("h"))
-    first = sketched.select("key", F.struct("doc_id", "place", keys.alias("bands"), nearest.alias("sig")).alias("at"))
-    first = first.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"))
-    distinct = materialize(first.select("key", F.xxhash64("key").alias("id"), "n", "at.doc_id", "at.place", "at.sig", "at.bands"))
-    # one sort of (band, id) rows; buckets of one line end here
-    w = Window.partitionBy("band").orderBy("id")
-    rows = distinct.select("id", F.explode("bands").alias("band"))
-    rows = rows.select("band", "id", F.first("id").over(w).alias("low"), F.lead("id").over(w).alias("next"))
-    listed = materialize(rows.where("low < id or next > id").select("band", "id", "low"))
-    side = lambda name, on: distinct.select(F.col("id").alias(on), F.struct("key", "doc_id", "place", "sig").alias(name))
-    # each line against the smallest one with which it shares most buckets
-    star = listed.where("id <> low").groupBy("id", "low").agg(F.count(F.lit(1)).alias("m")).groupBy("id").agg(F.max_by("low", F.struct("m", "low")).alias("low")).join(side("p", "low"), "low").join(side("q", "id"), "id").where(_agree())
-    star = materialize(star.select("p.key", "p.doc_id", "p.place", F.struct("q.key", "q.doc_id", "q.place").alias("q")))
-    texts = _texts(documents, star.select("key", "doc_id", "place").unionByName(star.select("q.key", "q.doc_id", "q.place")))
-    tried = star.select(F.col("key").alias("a"), F.col("q.key").alias("b"))
+def _class(size: Column) -> Column:
+    return F.greatest(F.ceil(F.log2(size / CLASS)), F.lit(0)).cast("int")
+
+
+def _marks(lines: DataFrame, num: int, den: int) -> DataFrame:
+    """``(id, size, class, bits)``: a parity bitmap of a line's shingles in each class in which a partner of it can be.
+
+    Lines within the threshold have sizes that differ by a factor of den / num at most, so they meet in
+    the smaller one's class.
+    """
+    h = _spread(lines).select("id", shingles(F.col("line")).alias("h")).withColumn("size", F.size("h"))
+    classes = F.array_distinct(F.array(_class(F.ceil(F.col("size") * num / den)), _class(F.col("size"))))
+    h = h.select("id", "size", "h", F.explode(classes).alias("class"))
+    hit = F.transform("h", lambda x: F.struct(F.call_function("shiftrightunsigned", x, 64 - (LANES - 1).bit_length() - F.col("class")).cast("int").alias("lane"),
+                                              F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int")).alias("bit")))
+    none = F.transform(F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(LANES), F.col("class")) - 1), lambda i: F.struct(i.alias("lane"), F.lit(0).cast("long").alias("bit")))
+    rows = h.select("id", "size", "class", F.explode(F.concat(hit, none)).alias("x")).groupBy("id", "size", "class", "x.lane").agg(F.bit_xor("x.bit").alias("bits"))
+    return rows.groupBy("id", "size", "class").agg(F.array_sort(F.collect_list(F.struct("lane", "bits"))).alias("b")).select("id", "size", "class", F.col("b.bits").alias("bits"))
+
+
+def _near(num: int, den: int) -> Column:
+    """False only if p and q differ in more shingles than the threshold lets them."""
+    most = (F.col("p.size") + F.col("q.size")) * (den - num)
+    apart = lambda x, y: F.bit_count(x.bitwiseXOR(y))
+    some = sum((apart(F.col("p.bits")[k], F.col("q.bits")[k]) for k in range(LANES)), F.lit(0))
+    all_ = F.aggregate(F.zip_with("p.bits", "q.bits", apart), F.lit(0), lambda s, x: s + x)
+    return (some * (num + den) <= most) & ((F.size("p.bits") == LANES) | (all_ * (num + den) <= most))
+
+
+def _links(documents: DataFrame, distinct: DataFrame, num: int, den: int) -> DataFrame:
+    """``(node, component)`` of the keys of lines that are linked with others; ``distinct`` holds the sketches of each line with ``key, main, doc_id``."""
+    bands = F.array_distinct(F.array(*[f"b{k}" for k in range(ANCHORS)]))
+    rows = distinct.select(F.xxhash64("key").alias("id"), F.explode(bands).alias("band"))
+    buckets = materialize(rows.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("a"), F.max("id").alias("b")).where("a < b"))
+    large = buckets.where("m > 2").select("band", F.col("a").alias("low"))
+    listed = materialize(rows.join(_few(large, large.count()), "band").where("id > low"))
+    tried = materialize(buckets.where("m = 2").select("a", "b").unionByName(listed.select(F.col("low").alias("a"), F.col("id").alias("b"))).distinct())
+    discard(buckets)
+    ids = tried.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = _texts(documents, distinct.where("main").select(F.xxhash64("key").alias("id"), "key", "doc_id").join(ids, "id"))
     links = materialize(_verified(tried, texts, num, den))
-    discard(texts)
-    found = materialize(components(links))
+    discard(tried)
+    found = components(links)
 
-    # what still lies apart in a bucket
-    placed = distinct.select("id", "key", "doc_id", "place").join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    members = listed.select("band", "id").join(placed, "id")
-    mixed = members.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band")
+    # what still lies apart in a bucket, the smallest line aside, which was tried against all
+    placed = texts.select("id", "key").join(found.withColumnRenamed("node", "key"), "key", "left").select("id", F.coalesce("component", "key").alias("component"))
+    members = listed.join(placed, "id").select("band", "id", "component")
+    mixed = materialize(members.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band"))
     members = materialize(members.join(mixed, "band"))
-    discard(listed)
+    discard(listed, mixed)
     if not members.isEmpty():
-        texts = _texts(documents, members.select("key", "doc_id", "place"))
-        sets = materialize(members.select("band", "key", "component").join(_marks(texts), "key"))
-        side = lambda name: sets.select(F.col("band").alias(f"{name}_band"), F.struct("key", "component", "size", "bits").alias(name))
-        apart = (F.col("p_band") == F.col("q_band")) & (F.col("p.key") < F.col("q.key")) & (F.col("p.component") != F.col("q.component"))
-        again = side("p").join(side("q"), apart & _near(num, den)).select(F.col("p.key").alias("a"), F.col("q.key").alias("b")).distinct()
-        again = again.join(tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
-        found = materialize(components(links.unionByName(_verified(again, texts, num, den))))
-        for table in (texts, sets):
-            discard(table)
-    discard(members)
-
-    several = distinct.select("key", "n", "doc_id", "place").join(found.withColumnRenamed("node", "key"), "key", "left").where("n > 1 or component is not null")
-    several = materialize(several.select("key", F.coalesce("component", "key").alias("component"), F.struct("doc_id", "place").alias("at")))
-    keep = several.groupBy("component").agg(F.min("at").alias("keep"))
-    judged = several.select("key", "component").join(keep, "component").select("key", "keep")
-    gone = lines.select("doc_id", "place", _key(F.col("line")).alias("key")).join(judged, "key").where((F.col("doc_id") != F.col("keep.doc_id")) | (F.col("place") != F.col("keep.place")))
-    return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("place")).alias("removed"))
+        marks = materialize(_marks(texts.join(members.select("id").distinct(), "id", "left_semi"), num, den))
+        sets = materialize(members.join(marks, "id"))
+        side = lambda name: sets.select(F.col("band").alias(f"{name}_band"), F.col("class").alias(f"{name}_class"), F.struct("id", "component", "size", "bits").alias(name))
+        apart = (F.col("p_band") == F.col("q_band")) & (F.col("p_class") == F.col("q_class")) & (F.col("p.id") < F.col("q.id")) & (F.col("p.component") != F.col("q.component"))
+        again = side("p").join(side("q"), apart & _near(num, den)).select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct()
+        new = materialize(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(_verified(again, texts, num, den)))
+        discard(found)
+        found = components(new)
+        discard(marks, sets, new)
+    discard(texts, links, members)
+    return found
+
+
+def removed_lines(documents: DataFrame, num: int = 8, den: int = 10) -> DataFrame:
+    """``(doc_id, removed)``: sorted places of lines that another line stands for, where there are any."""
+    lines = _occurrences(documents)
+    # equal lines have equal bands: plain minima of longs keep this a hash aggregation
+    own = [F.min(f"b{k}").alias(f"b{k}") for k in range(ANCHORS)]
+    distinct = sketches(lines, "key", "doc_id").groupBy("key", "main").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id"), *own)
+    distinct = materialize(distinct)
+    found = _links(documents, distinct, num, den)
+    several = distinct.where("main").select("key", "n", "doc_id").join(found.withColumnRenamed("node", "key"), "key", "left").where("n > 1 or component is not null")
+    several = materialize(several.select("key", F.coalesce("component", "key").alias("component"), "doc_id"))
+    keep = materialize(several.groupBy("component").agg(F.min("doc_id").alias("keep")))
+    judged = several.select("key", "component").join(keep, "component")
+    gone = lines.select("doc_id", "place", "key").join(judged, "key").groupBy("doc_id", "component", "keep").agg(F.array_sort(F.collect_set("place")).alias("places"))
+    # in the document that keeps a component's line, the first place stays
+    places = F.when(F.col("doc_id") == F.col("keep"), F.slice("places", 2, F.size("places"))).otherwise(F.col("places"))
+    gone = gone.select("doc_id", places.alias("places")).where("size(places) > 0")
+    gone = materialize(gone.groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("places"))).alias("removed")))
+    discard(distinct, found, several, keep)
+    return gone
 
 
 def line_report(documents: DataFrame, num: int = 8, den: int = 10) -> DataFrame:
@@ -173,12 +214,14 @@ def line_report(documents: DataFrame, num: int = 8, den: int = 10) -> DataFrame:
 
 def dedup_lines(documents: DataFrame, num: int = 8, den: int = 10) -> DataFrame:
     """The documents without those lines; one with no line left goes. ``n_chars``, if there, follows the text."""
-    gone = materialize(removed_lines(documents, num, den)).select(F.col("doc_id").alias("_gone_id"), F.col("removed").alias("_gone"))
-    joined = documents.join(gone, F.col("doc_id") == F.col("_gone_id"), "left")
-    left = lambda a: F.transform(F.array_except(F.sequence(F.lit(0), F.size(a) - 1), F.col("_gone")), lambda i: a[i])
-    text = F.transform(F.array(_split(F.col("text").cast("string"))), lambda a: F.array_join(left(a), "\n"))[0]
-    same = F.col("_gone").isNull()
-    new = joined.withColumn("text", F.when(same, F.col("text")).otherwise(text)).where(same | (F.btrim("text", F.lit(WHITE)) != ""))
-    if "n_chars" in documents.columns:
-        new = new.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.length("text").cast(documents.schema["n_chars"].dataType)))
-    return new.select(*documents.columns)
+    gone = removed_lines(documents, num, den)
+    places = gone.agg(F.coalesce(F.sum(F.size("removed")), F.lit(0))).first()[0]
+    gone = gone.select(F.col("doc_id").alias("id"), "removed")
+    rows = documents.select(F.struct(*documents.columns).alias("row"), F.col("doc_id").cast("long").alias("id")).join(_few(gone, places), "id", "left")
+    old = F.col("row.text").cast("string")
+    left = F.transform(F.array(_split(old)), lambda a: F.transform(F.array_except(F.sequence(F.lit(0), F.size(a) - 1), F.col("removed")), lambda i: a[i]))[0]
+    rows = rows.select("row", F.col("removed").isNull().alias("same"), F.when(F.col("removed").isNotNull(), F.array_join(left, "\n")).alias("new"))
+    rows = rows.where(F.col("same") | (F.btrim("new", F.lit(WHITE)) != ""))
+    new = {"text": F.col("new"), "n_chars": F.length("new")}
+    kind = lambda c: documents.schema[c].dataType
+    return rows.select(*[(F.when(F.col("same"), F.col("row")[c]).otherwise(new[c].cast(kind(c))) if c in new else F.col("row")[c]).alias(c) for c in documents.columns])

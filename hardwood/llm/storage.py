@@ -11,9 +11,15 @@ OWN = "hardwood-tables"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder of our own only where it is unset."""
+    """A folder in the cluster's ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary folder of our own with a local master (driver and executors are one
+    process there), else an error: a machine's own folder would lose the executors' files.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="hardwood-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{OWN}"
@@ -29,15 +35,10 @@ def materialize(df: DataFrame) -> DataFrame:
     return back
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table made by :func:`materialize` that nothing will read again."""
-    spark, path = df.sparkSession, getattr(df, "_hardwood_path", None)
-    if path:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def discard_all(spark: SparkSession) -> None:
-    """Delete every table of this session's shared folder; call it once all results are stored."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`materialize` that nothing will read again; other frames are left alone."""
+    for df in tables:
+        path = getattr(df, "_hardwood_path", None)
+        if path:
+            p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
