@@ -13,8 +13,8 @@ ends; blank lines take no part. Equal lines are one (by md5) before anything els
   of those at word starts agree, and a pair misses all bands in about one case of thirty; at 0.9 in none
   of 5000. A pair of which one line has over ``FEW[1]`` words and the other under ``FEW[0]`` is missed.
 * **Candidates.** Each line is tried against the smallest line of every bucket it is in (a bucket of two has
-  no other pair). Only the other members of a bucket that then still lie in different components meet each
-  other, inside a join whose condition bounds their difference from below by parity bitmaps of all their
+  no other pair). Members of a bucket that then still lie in different components meet the next ``NEXT`` in two
+  orders by hash, and those that even then lie apart all meet each other, inside a join whose condition bounds their difference from below by parity bitmaps of all their
   shingles, larger ones for longer lines: no pair within the threshold is lost, few others come out.
 * **Verification.** Jaccard of all character shingles of ``SHINGLE`` characters, exact, ``num/den`` or more.
 * **Union-find** over the verified links; each component keeps its first line by ``(doc_id, place)``.
@@ -26,7 +26,7 @@ ignored (kept by :func:`dedup_lines`, whatever their names).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -41,6 +41,8 @@ FEW = (8, 14)
 PLACES = tuple(-(1 << 63) + k * ((1 << 64) // ANCHORS) for k in range(ANCHORS))
 #: Longs and shingles of the smallest parity bitmap; each next class has twice as many of both.
 LANES, CLASS = 16, 512
+#: Members of a bucket that each is tried against before all are tried against all.
+NEXT = 6
 #: Broadcast up to so many keys (16 bytes) or bands (8 bytes); more are shuffled.
 BROADCAST_KEYS = 500_000
 WHITE = " \t\n\x0b\x0c\r"
@@ -163,23 +165,38 @@ def _links(documents: DataFrame, distinct: DataFrame, num: int, den: int) -> Dat
     discard(tried)
     found = components(links)
 
-    # what still lies apart in a bucket, the smallest line aside, which was tried against all
-    placed = texts.select("id", "key").join(found.withColumnRenamed("node", "key"), "key", "left").select("id", F.coalesce("component", "key").alias("component"))
-    members = listed.join(placed, "id").select("band", "id", "component")
-    mixed = materialize(members.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band"))
-    members = materialize(members.join(mixed, "band"))
-    discard(listed, mixed)
-    if not members.isEmpty():
-        marks = materialize(_marks(texts.join(members.select("id").distinct(), "id", "left_semi"), num, den))
+    # what still lies apart in a bucket, the smallest line aside, which was tried against all: first, twice, each line
+    # against the next few in an order by hash, which joins large groups, then all lines against each other
+    marks = None
+    for turn in range(3):
+        placed = texts.select("id", "key").join(found.withColumnRenamed("node", "key"), "key", "left").select("id", F.coalesce("component", "key").alias("component"))
+        members = listed.join(placed, "id").select("band", "id", "component")
+        mixed = materialize(members.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band"))
+        members = materialize(members.join(mixed, "band"))
+        discard(mixed)
+        if members.isEmpty():
+            discard(members)
+            break
+        if marks is None:
+            marks = materialize(_marks(texts.join(members.select("id").distinct(), "id", "left_semi"), num, den))
         sets = materialize(members.join(marks, "id"))
-        side = lambda name: sets.select(F.col("band").alias(f"{name}_band"), F.col("class").alias(f"{name}_class"), F.struct("id", "component", "size", "bits").alias(name))
-        apart = (F.col("p_band") == F.col("q_band")) & (F.col("p_class") == F.col("q_class")) & (F.col("p.id") < F.col("q.id")) & (F.col("p.component") != F.col("q.component"))
-        again = side("p").join(side("q"), apart & _near(num, den)).select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct()
+        if turn < 2:
+            own = F.struct("id", "component", "size", "bits")
+            w = Window.partitionBy("band", "class").orderBy(F.xxhash64("id", F.lit(turn)), "id")
+            near = sets.select(own.alias("p"), F.array(*[F.lead(own, k).over(w) for k in range(1, NEXT + 1)]).alias("next")).select("p", F.explode("next").alias("q"))
+            near = near.where(F.col("q").isNotNull() & (F.col("p.component") != F.col("q.component")) & _near(num, den))
+        else:
+            side = lambda name: sets.select(F.col("band").alias(f"{name}_band"), F.col("class").alias(f"{name}_class"), F.struct("id", "component", "size", "bits").alias(name))
+            apart = (F.col("p_band") == F.col("q_band")) & (F.col("p_class") == F.col("q_class")) & (F.col("p.id") < F.col("q.id")) & (F.col("p.component") != F.col("q.component"))
+            near = side("p").join(side("q"), apart & _near(num, den))
+        again = near.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).distinct()
         new = materialize(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(_verified(again, texts, num, den)))
-        discard(found)
+        discard(found, members, sets)
         found = components(new)
-        discard(marks, sets, new)
-    discard(texts, links, members)
+        discard(new)
+    if marks is not None:
+        discard(marks)
+    discard(texts, links, listed)
     return found
 
 
