@@ -43,7 +43,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(_read(spark, sf_dir, "documents").select("doc_id", "source"))
+    return mix_sources(_read(spark, sf_dir, "documents"))
 
 
 def op7_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,15 +1,17 @@
 import math
 from collections import Counter
 
-from hardwood.llm.mixing import cumulative, mix_sources
+from hardwood.llm.mixing import mix_sources, quantile
 from pyspark.sql import functions as F
 
 
-def test_cumulative(spark):
+def test_quantile(spark):
     for mean in (0.05, 1.0, 7.5, 900.0):
-        got = spark.range(1).select(cumulative(F.lit(mean)).alias("c")).first().c
-        assert math.isclose(got[-1], 1, abs_tol=1e-9)
-        assert math.isclose(got[3], sum(math.exp(-mean + k * math.log(mean) - math.lgamma(k + 1)) for k in range(4)), rel_tol=1e-9, abs_tol=1e-300)
+        p = [math.exp(-mean + k * math.log(mean) - math.lgamma(k + 1)) for k in range(int(mean + 10 * mean**0.5 + 21))]
+        cdf = [sum(p[: k + 1]) for k in range(len(p))]
+        us = [0.0, 0.001, 0.2, 0.5, 0.77, 0.99, 0.999999]
+        got = [r.k for r in spark.createDataFrame([(u,) for u in us], "u double").select(quantile(F.col("u"), F.lit(mean)).alias("k")).collect()]
+        assert got == [next(k for k, c in enumerate(cdf) if c > u) for u in us]
 
 
 def test_weights_are_reached(spark):
@@ -30,6 +32,9 @@ def test_weights_are_reached(spark):
 
 
 def test_edges(docs, spark):
-    odd = spark.createDataFrame([(None, None, None), (1, "x", "a"), (1, "x", "a")], "doc_id long, text string, source string")
+    odd = spark.createDataFrame([(None, None, None, 5, 6.0), (1, "x", "a", 7, 8.0), (1, "x", "a", 7, 8.0)], "doc_id long, text string, source string, k int, mean double")
+    assert {(r.k, r.mean) for r in mix_sources(odd, size=4.0).collect()} <= {(5, 6.0), (7, 8.0)}
+    lost = spark.createDataFrame([(None, f"text {i}", "a") for i in range(2000)], "doc_id long, text string, source string")
+    assert 1700 < mix_sources(lost).count() < 2300 and len({r.text for r in mix_sources(lost).collect()}) > 1000
     assert mix_sources(odd, size=4.0).count() == mix_sources(odd.repartition(3), size=4.0).count() > 0
     assert mix_sources(odd.where("false")).collect() == []
