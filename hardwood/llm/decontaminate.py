@@ -180,8 +180,8 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield block
 
 
-def find_items(documents: DataFrame, benchmark: DataFrame, *columns: str, q: int = Q, rate: float = RATE) -> DataFrame:
-    """Per row the given columns and ``found array<struct<item_id, edits>>``, by item_id."""
+def find_items(documents: DataFrame, benchmark: DataFrame, *columns: str, q: int = Q, rate: float = RATE, with_text: bool = False) -> DataFrame:
+    """Per row the given columns and ``found array<struct<item_id, edits>>``, by item_id; ``text`` too if asked for."""
     found = documents.select(*columns, "text", F.array().cast("array<struct<item_id:bigint,edits:bigint>>").alias("found"))
     for block in _blocks(benchmark):
         shared = documents.sparkSession.sparkContext.broadcast(block)
@@ -197,7 +197,7 @@ def find_items(documents: DataFrame, benchmark: DataFrame, *columns: str, q: int
 
         found = found.withColumn("text", F.col("text").cast("string"))
         found = found.mapInArrow(go, found.schema)
-    return found.drop("text")
+    return found if with_text else found.drop("text")
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE) -> DataFrame:
@@ -208,5 +208,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, q: int = Q, rate:
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE) -> DataFrame:
     """The documents in which no item was found; columns as given."""
-    rows = documents.select(F.struct(*documents.columns).alias("_row"), "text")
-    return find_items(rows, benchmark, "_row", q=q, rate=rate).where("size(found) = 0").select(*[F.col("_row")[c].alias(c) for c in documents.columns])
+    rest = [c for c in documents.columns if c != "text"]  # the text goes to the workers once
+    rows = documents.select(F.struct(*rest).alias("_row"), "text")
+    clean = find_items(rows, benchmark, "_row", q=q, rate=rate, with_text=True).where("size(found) = 0")
+    return clean.select(*[(F.col("text").cast(documents.schema["text"].dataType) if c == "text" else F.col("_row")[c]).alias(c) for c in documents.columns])

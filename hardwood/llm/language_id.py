@@ -1,8 +1,8 @@
 """Language ID by a byte convolutional network: multi-width filters, max pooling and softmax in numpy.
 
 **Training** is bounded: at most about ``per_language`` labelled texts of each language, taken over
-all rows by the rank of a hash of ``doc_id``, and ``windows_each`` windows of each. Inputs are bytes
-of the text only.
+all rows by the rank of a hash of ``doc_id``, and ``windows_each`` windows of each. Every language that
+labels a row has an output. Inputs are bytes of the text only.
 
 **Prediction** covers every whole text: it is cut into windows of ``LENGTH`` bytes that overlap by the
 widest filter, so each byte sequence a filter can see lies in a window; the log-probabilities of the
@@ -11,7 +11,8 @@ the length of a text. A filter over bytes is a sum of table rows, one for each p
 pairs are added up beforehand, which leaves three look-ups for all filters at a position.
 
 Texts that are null or without a letter (Unicode L) get ``und`` and score 0; so do all texts if there
-is nothing to learn from. Extra columns are ignored, repeated rows each give a row.
+is nothing to learn from. Of equally likely languages the first by name is predicted. Extra columns are ignored,
+repeated rows each give a row.
 """
 
 from __future__ import annotations
@@ -31,16 +32,16 @@ UNDETERMINED = "und"
 
 def sample(labelled: DataFrame, per_language: int) -> list[tuple[str, str]]:
     """``(text, lang)`` of about ``per_language`` rows a language, chosen by a hash over all rows."""
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200).collect()}
-    if not counts:
-        return []
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, per_language / n)))])[F.col("lang")]
-    u = (F.pmod(F.xxhash64(F.lit("language sample"), "doc_id"), F.lit(1 << 40)) / float(1 << 40)).alias("u")
-    rows = labelled.select("text", "lang", (u / share).alias("u")).where("u < 1").orderBy("u", "text").limit(2 * per_language * len(counts))
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    languages = counts.count()  # as many rows as the network has outputs
+    share = F.broadcast(counts.select("lang", F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("n")).alias("share")))
+    u = F.pmod(F.xxhash64(F.lit("language sample"), "doc_id"), F.lit(1 << 40)) / float(1 << 40)
     # a bounded number of windows' bytes from a place in the text that also follows the hash
     size = F.length("text")
     start = (F.pmod(F.xxhash64("text"), F.greatest(size - 4 * LENGTH, F.lit(1)))).cast("int") + 1
-    return [(r["text"], r["lang"]) for r in rows.select(F.substring("text", start, F.lit(4 * LENGTH)).alias("text"), "lang").collect()]
+    rows = labelled.join(share, "lang").select(F.substring("text", start, F.lit(4 * LENGTH)).alias("text"), "lang", (u / F.col("share")).alias("u"))
+    rows = rows.where("u < 1").orderBy("u", "text").limit(2 * per_language * languages)
+    return [(r["text"], r["lang"]) for r in rows.collect()]
 
 
 class Network:
@@ -175,11 +176,13 @@ def train(labelled: DataFrame, per_language: int = 400, windows_each: int = 3) -
     return net
 
 
-def predict(documents: DataFrame, net: Network | None, *columns: str) -> DataFrame:
-    """Per row the given columns, ``lang_pred`` and ``score``, the probability of that language."""
+def predict(documents: DataFrame, net: Network | None, *columns: str, with_text: bool = False) -> DataFrame:
+    """Per row the given columns, ``lang_pred`` and ``score``, the probability of that language; ``text`` too if asked for."""
     text = F.col("text").cast("string")
     rows = documents.select(*columns, text.alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
 
+    kept = [*columns, "text"] if with_text else list(columns)
+
     def go(batches: Iterator[pa.RecordBatch]):
         tables = net.tables() if net else None
         for batch in pieces(batches):
@@ -197,9 +200,9 @@ def predict(documents: DataFrame, net: Network | None, *columns: str) -> DataFra
                 yes = batch.column("_letters").to_numpy(zero_copy_only=False).astype(bool)
                 lang[yes] = np.array(net.labels, object)[p[yes].argmax(1)]
                 top[yes] = p[yes].max(1)
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in columns] + [pa.array(lang, pa.string()), pa.array(top)], names=[*columns, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(lang, pa.string()), pa.array(top)], names=[*kept, "lang_pred", "score"])
 
-    shape = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns] + ["lang_pred string", "score double"])
+    shape = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept] + ["lang_pred string", "score double"])
     return rows.mapInArrow(go, shape)
 
 
@@ -216,8 +219,10 @@ def keep_determined(documents: DataFrame, languages: tuple[str, ...] | None = No
     The network learns from the labelled documents themselves; ``lang`` is no input of a prediction.
     """
     net = train(documents, per_language)
-    rows = documents.select(F.struct(*documents.columns).alias("_row"), "text")
-    found = predict(rows, net, "_row").where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
+    rest = [c for c in documents.columns if c != "text"]  # the text goes to the workers once
+    rows = documents.select(F.struct(*rest).alias("_row"), "text")
+    found = predict(rows, net, "_row", with_text=True).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
     if languages is not None:
         found = found.where(F.col("lang_pred").isin(*languages))
-    return found.select(*[(F.col("lang_pred") if c == "lang" else F.col("_row")[c]).alias(c) for c in documents.columns])
+    own = {"lang": F.col("lang_pred"), "text": F.col("text").cast(documents.schema["text"].dataType)}
+    return found.select(*[own.get(c, F.col("_row")[c]).alias(c) for c in documents.columns])
