@@ -1,20 +1,28 @@
-"""Interpolated modified Kneser-Ney bigram model: counted in Spark, memory-mapped by the workers.
+"""Interpolated modified Kneser-Ney n-gram model: counted in Spark, memory-mapped by the workers.
 
-Training is three aggregations: words, word pairs and, per word, how many different words follow and
-precede it. The model is a folder of plain arrays in the shared checkpoint folder, which must be a
-path mounted on every worker (the files are mapped, not copied, so they take no worker memory):
+Training counts words, then the n-grams of the highest order (``order``, 3 by default), and from the
+distinct n-grams of each order the continuation counts of the next lower one. The model is a folder of
+plain arrays in the shared checkpoint folder, which must be a path mounted on every worker (the files are
+mapped, not copied, so they take no worker memory):
 
 * ``vocabulary``: the sorted 64-bit hashes of all training tokens; a token's rank is its id;
-* ``words``: per id its count, its followers seen once, twice and more often, and its predecessors;
-* ``pairs-k.keys`` / ``pairs-k.counts``: sorted ``first id << 32 | second id`` of the k-th share of
-  the first words, with counts in the narrowest type.
-
-Everything gathered grows with the corpus; each share holds about ``share`` pairs, so tasks stay
-small. Tasks write with an atomic rename or at a fixed offset, so a repeated task changes nothing.
-Higher orders would need several times the disk that the job is given.
-
-Tokens are the A-Z-lower-cased words ``[^\\x20\\x09-\\x0D]+`` and one end per text; null is empty.
-Texts with a null ``doc_id`` are scored but not learnt from. Every row gives a row.
+* ``words``: per id its count, its followers with counts 1, 2 and more, the sum of its followers' counts and
+  its predecessors;
+* ``gN-k.high``, ``.low``, ``.counts``: the sorted hashes of the N-grams of the k-th share (48 bits, as 32 and
+  16; within a share of some million that is about one false match in 10^8 look-ups) with their counts, those
+  of the highest order as they occur, of lower ones by how many different words go before, in the narrowest
+  type;
+* ``xN-k.high``, ``.low``, ``.sums``: the same for the contexts of N-grams of three words and more: the sum of
+  counts and how many followers have counts 1, 2 and more.
+
+Everything gathered grows with the corpus; a share holds about ``SHARE`` n-grams, so tasks stay small.
+Pairs are dealt by their own hash and the sums per first word folded afterwards, longer n-grams by their
+context's, so no share holds all that follows a frequent word. Tasks write with an atomic rename or at a
+fixed offset, so a repeated task changes nothing.
+
+Tokens are the A-Z-lower-cased words ``[^\\x20\\x09-\\x0D]+`` and one end per text; null is empty. A text
+begins with ``order - 1`` start marks. Texts with a null ``doc_id`` are scored but not learnt from. Every row
+gives a row; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,17 +34,19 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize, shared_dir
+from .storage import discard, materialize, shared_dir
 from .textarrays import U, Words, mix, pieces
 
 END = mix(np.array([0xE0D], U))[0]
-#: Pairs and words of one share.
-SHARE, WORD_SHARE = 4_000_000, 1_000_000
-#: Distinct pairs that a task holds before it passes them on.
-HELD = 6_000_000
+#: N-grams and words of one share.
+SHARE, WORD_SHARE = 2_000_000, 1_000_000
+#: N-grams or words that a task holds before it passes them on.
+HELD = 3_000_000
+_PRIME = U(0x9E3779B97F4A7C15)
 
 
 def _replace(path: str, data: np.ndarray) -> None:
@@ -75,21 +85,57 @@ def _all(held: list) -> tuple[np.ndarray, np.ndarray]:
     return _merged(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held])) if held else (np.empty(0, U), np.empty(0, np.int64))
 
 
+def gram_keys(ids: list[np.ndarray]) -> list[np.ndarray]:
+    """The keys of the n-grams of the first two, three, ... of these columns of ids."""
+    keys = [ids[0].astype(U) << U(32) | ids[1].astype(U)]
+    for column in ids[2:]:
+        keys.append(mix(keys[-1] * _PRIME + column.astype(U) + U(1)))
+    return keys
+
+
+def _stored(keys: np.ndarray, n: int) -> np.ndarray:
+    """The keys of n-grams as hashes; those of pairs are not hashed yet."""
+    return mix(keys) if n == 2 else keys
+
+
+def _halves(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first 48 bits, as 32 and 16."""
+    return (hashes >> U(32)).astype(np.uint32), (hashes >> U(16)).astype(np.uint16)
+
+
+def _share(key: np.ndarray, n: int) -> np.ndarray:
+    return ((mix(key + U(7)) >> U(40)) % U(n)).astype(np.int64)
+
+
+def shares_of(keys: list[np.ndarray], n: int) -> np.ndarray:
+    """The share of each n-gram: by itself for pairs, by its context else."""
+    return _share(keys[max(len(keys) - 2, 0)], n)
+
+
 class Model:
     """The mapped arrays and the numbers that go with them."""
 
     def __init__(self, folder: str, facts: dict):
-        self.folder, self.facts = folder, facts
+        self.folder, self.facts, self.maps = folder, facts, {}
 
     def open(self) -> Model:
         v, f = self.facts["vocabulary"], self.facts
-        load = lambda name, kind: np.memmap(f"{self.folder}/{name}", kind, "r") if os.path.getsize(f"{self.folder}/{name}") else np.empty(0, kind)
-        self.hashes = load("vocabulary", U) if v else np.empty(0, U)
-        self.words = load("words", f["kind"]).reshape(v + 1, 5) if v else np.zeros((1, 5), np.int64)
-        self.pairs = [(load(f"pairs-{k}.keys", U), load(f"pairs-{k}.counts", kind)) for k, kind in f["shares"]]
-        self.numbers = [k for k, _ in f["shares"]]
+        self.hashes = self._map("vocabulary", U)
+        self.words = self._map("words", f["kind"]).reshape(-1, 6) if v else np.zeros((1, 6), np.int64)
         return self
 
+    def _map(self, name: str, kind) -> np.ndarray:
+        path = f"{self.folder}/{name}"
+        return np.memmap(path, kind, "r") if os.path.exists(path) and os.path.getsize(path) else np.empty(0, kind)
+
+    def _table(self, name: str, values: str, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Both parts of the keys and the values of a share; the values' type follows from the sizes of the files."""
+        if name not in self.maps:
+            high = self._map(f"{name}.high", np.uint32)
+            size = os.path.getsize(f"{self.folder}/{name}.{values}") // (len(high) * width) if len(high) else 1
+            self.maps[name] = high, self._map(f"{name}.low", np.uint16), self._map(f"{name}.{values}", f"u{size}").reshape(-1, width)
+        return self.maps[name]
+
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         """The id of each token, -1 where it was not seen."""
         keys, back = np.unique(hashes, return_inverse=True)
@@ -103,36 +149,57 @@ class Model:
         at[at == len(table)] = 0
         return np.where(table[at] == sorted_keys, at, -1)
 
-    def pair_counts(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        """Counts of pairs of known ids."""
-        keys, back = np.unique(first.astype(U) << U(32) | second.astype(U), return_inverse=True)
-        out = np.zeros(len(keys), np.int64)
-        share = _share(keys >> U(32), self.facts["n_shares"])
-        for k, (table, counts) in zip(self.numbers, self.pairs, strict=True):
-            mine = np.flatnonzero(share == k)
-            at = self._find(table, keys[mine])
-            out[mine[at >= 0]] = counts[at[at >= 0]]
-        return out[back]
-
-    def log10(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        """log10 P(second | first); ids, -1 if unseen."""
+    def look_up(self, prefix: str, values: str, width: int, keys: np.ndarray, share: np.ndarray) -> np.ndarray:
+        """Rows of values of keys; zeros where there is none."""
+        order = np.argsort(keys)
+        order = order[np.argsort(share[order], kind="stable")]
+        keys, share = keys[order], share[order]
+        first = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (share[1:] != share[:-1]))) if len(keys) else np.empty(0, np.int64)
+        k, s = keys[first], share[first]
+        found = np.zeros((len(k), width))
+        for at in np.split(np.arange(len(k)), np.flatnonzero(np.diff(s)) + 1) if len(k) else []:
+            high, low, rows = self._table(f"{prefix}-{s[at[0]]}", values, width)
+            h, l_ = _halves(k[at])
+            place = np.searchsorted(high, h)
+            while len(at):  # on along equal first halves
+                inside = place < len(high)
+                at, h, l_, place = at[inside], h[inside], l_[inside], place[inside]
+                same = high[place] == h
+                at, h, l_, place = at[same], h[same], l_[same], place[same]
+                hit = low[place] == l_
+                found[at[hit]] = rows[place[hit]]
+                at, h, l_, place = at[~hit], h[~hit], l_[~hit], place[~hit] + 1
+        out = np.empty((len(keys), width))
+        out[order] = np.repeat(found, np.diff(np.append(first, len(keys))), axis=0)
+        return out
+
+    def log10(self, ids: list[np.ndarray]) -> np.ndarray:
+        """log10 of P(the last | the others); ``order`` columns of ids, -1 where unseen."""
         f = self.facts
-        w = np.asarray(self.words[np.maximum(second, 0)], np.float64)
-        cont = np.where(second >= 0, w[:, 4], 0)
+        last = ids[-1]
+        cont = np.where(last >= 0, np.asarray(self.words[np.maximum(last, 0), 5], np.float64), 0)
+        d = f["discounts"][1]
         if f["pairs"]:
-            low = (np.maximum(cont - _discount(f["low"], cont), 0) + f["low_rest"] / (f["vocabulary"] + 1)) / f["pairs"]
+            p = (np.maximum(cont - _discount(d, cont), 0) + f["low_rest"] / (f["vocabulary"] + 1)) / f["pairs"]
         else:
-            low = np.full(len(second), 1 / (f["vocabulary"] + 1))
-        v = np.asarray(self.words[np.maximum(first, 0)], np.float64)
-        d = f["high"]
-        total = np.where(first == f["vocabulary"], f["texts"], v[:, 0])
-        seen = (first >= 0) & (total > 0)
-        count = np.zeros(len(first))
-        both = seen & (second >= 0)
-        count[both] = self.pair_counts(first[both], second[both])
-        rest = v[:, 1] * d[0] + v[:, 2] * d[1] + v[:, 3] * d[2]
-        high = (np.maximum(count - _discount(d, count), 0) + rest * low) / np.where(seen, total, 1)
-        return np.log10(np.where(seen, high, low))
+            p = np.full(len(last), 1 / (f["vocabulary"] + 1))
+        for n in range(2, f["order"] + 1):
+            d = f["discounts"][n]
+            own = ids[-n:]
+            context = np.all([x >= 0 for x in own[:-1]], axis=0)
+            both = context & (last >= 0)
+            sums, count = np.zeros((len(last), 4)), np.zeros(len(last))
+            keys = gram_keys([np.maximum(x, 0) for x in own])
+            share = shares_of(keys, f["n_shares"])
+            count[both] = self.look_up(f"g{n}", "counts", 1, _stored(keys[-1], n)[both], share[both])[:, 0]
+            if n == 2:
+                sums[context] = np.asarray(self.words[own[0][context]][:, [4, 1, 2, 3]], np.float64)
+            else:
+                sums[context] = self.look_up(f"x{n}", "sums", 4, _stored(keys[-2], n - 1)[context], share[context])
+            seen = sums[:, 0] > 0
+            high = (np.maximum(count - _discount(d, count), 0) + (sums[:, 1] * d[0] + sums[:, 2] * d[1] + sums[:, 3] * d[2]) * p) / np.where(seen, sums[:, 0], 1)
+            p = np.where(seen, high, p)
+        return np.log10(p)
 
 
 def _discount(d: tuple, count: np.ndarray) -> np.ndarray:
@@ -149,12 +216,53 @@ def discounts(n: tuple) -> tuple[float, float, float]:
     return clip(1 - 2 * y * n2 / n1, 1.0), clip(2 - 3 * y * n3 / n2, 2.0), clip(3 - 4 * y * n4 / n3, 3.0) if n3 else 1.5
 
 
-def _share(first: np.ndarray, n: int) -> np.ndarray:
-    return (mix(first + U(7)) >> U(40)) % U(n)
+def _columns(ids: np.ndarray, at: np.ndarray, start: int, order: int) -> list[np.ndarray]:
+    """The ``order`` last ids at each token, start marks before a text's first."""
+    columns = [ids]
+    place = np.arange(len(ids)) - np.repeat(at[:-1], np.diff(at))
+    for back in range(1, order):
+        columns.insert(0, np.where(place < back, start, np.roll(ids, back)))
+    return columns
+
 
+def _packed(columns: list[np.ndarray], counts: np.ndarray, share: np.ndarray, n_shares: int) -> Iterator[tuple[int, bytes]]:
+    """Each share's n-grams as compressed byte planes."""
+    order = np.argsort(share, kind="stable")
+    ends = np.searchsorted(share[order], np.arange(n_shares + 1))
+    pack = zstandard.ZstdCompressor(level=1)
+    for k in np.flatnonzero(np.diff(ends)):
+        mine = order[ends[k] : ends[k + 1]]
+        mine = mine[np.lexsort([c[mine] for c in reversed(columns)])]  # like next to like
+        planes = [np.ascontiguousarray(x[mine].astype(t).view(np.uint8).reshape(len(mine), -1).T).tobytes() for x, t in [*((c, np.uint32) for c in columns), (counts, np.uint64)]]
+        yield int(k), pack.compress(b"".join(planes))
 
-def train(documents: DataFrame) -> Model:
-    """Count ``documents`` (``text``) and write the model."""
+
+def _unpacked(data: bytes, n: int) -> tuple[list[np.ndarray], np.ndarray]:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    size = len(raw) // (4 * n + 8)
+    planes = raw.reshape(-1, size)
+    column = lambda a, b, t: np.ascontiguousarray(planes[a:b].T).view(t).ravel()
+    return [column(4 * i, 4 * i + 4, np.uint32) for i in range(n)], column(4 * n, 4 * n + 8, np.uint64).astype(np.int64)
+
+
+def _distinct(columns: list[np.ndarray], counts: np.ndarray | None) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """Columns, keys and summed counts of the different n-grams, sorted by key."""
+    keys = gram_keys(columns)
+    order = np.argsort(keys[-1])
+    key = keys[-1][order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
+    size = np.diff(np.append(first, len(key)))
+    total = size if counts is None else (np.add.reduceat(counts[order], first) if len(key) else counts)
+    at = order[first]
+    return [c[at] for c in columns], [k[at] for k in keys], total
+
+
+def _narrow(values: np.ndarray) -> np.ndarray:
+    return values.astype(np.min_scalar_type(int(values.max(initial=0))))
+
+
+def train(documents: DataFrame, order: int = 3) -> Model:
+    """Count ``documents`` (``text``) and write the model of ``order`` (2 or more)."""
     spark = documents.sparkSession
     where = urlparse(shared_dir(spark))
     if where.scheme not in ("", "file"):
@@ -176,15 +284,15 @@ def train(documents: DataFrame) -> Model:
     words = materialize(texts.mapInArrow(count_words, "word long, c long").groupBy("word").agg(F.sum("c").alias("c")))
     vocabulary, tokens = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0))).first()
     kind = "u4" if tokens < 2**32 else "u8"
-    facts = {"vocabulary": vocabulary, "tokens": tokens, "kind": kind, "shares": [], "n_shares": 1, "pairs": 0, "texts": 0, "high": (0.5,) * 3, "low": (0.5,) * 3, "low_rest": 0.0}
+    facts = {"vocabulary": vocabulary, "tokens": tokens, "kind": kind, "order": order, "n_shares": 1, "pairs": 0, "discounts": {n: (0.5,) * 3 for n in range(1, order + 1)}, "low_rest": 0.0}
     if not vocabulary:
         return Model(folder, facts)
 
     bits = max(1, int(np.ceil(np.log2(vocabulary / WORD_SHARE))) if vocabulary > WORD_SHARE else 1)
     # hashes are unsigned: flipping the sign bit makes signed top bits follow their order
     top = F.shiftright(F.col("word").bitwiseXOR(F.lit(-(2**63))), 64 - bits) + F.lit(2 ** (bits - 1))
-    words = words.withColumn("share", top)
-    sizes = dict(words.groupBy("share").count().collect())
+    shared = words.withColumn("share", top)
+    sizes = dict(shared.groupBy("share").count().collect())
     offset = dict(zip(sorted(sizes), np.concatenate([[0], np.cumsum([sizes[k] for k in sorted(sizes)])]).tolist(), strict=False))
 
     def write_words(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -196,85 +304,100 @@ def train(documents: DataFrame) -> Model:
             os.pwrite(f.fileno(), h[order].tobytes(), 8 * begin)
         return pa.table({"id": np.arange(begin, begin + len(h)), "c": table["c"].to_numpy()[order]})
 
-    counted = materialize(words.groupBy("share").applyInArrow(write_words, "id long, c long"))
+    counted = materialize(shared.groupBy("share").applyInArrow(write_words, "id long, c long"))
+    discard(words)
     n_shares = max(1, -(-tokens // SHARE))
-    reader = Model(folder, facts)
+    facts["n_shares"] = n_shares
+    kinds = {"share": pa.int32(), "data": pa.binary(), **{c: pa.int64() for c in ("id", "n1", "n2", "n3", "total", "cont")}}
+    shape = "share int, data binary, id long, n1 long, n2 long, n3 long, total long, cont long"
 
-    def count_pairs(batches: Iterator[pa.RecordBatch]):
-        model = None
-        held: list = []
+    def batch_of(n: int, **columns) -> pa.Table:
+        return pa.table({k: pa.array(columns[k], t) if k in columns else pa.nulls(n, t) for k, t in kinds.items()})
+
+    def count_grams(batches: Iterator[pa.RecordBatch]):
+        model, held, size = None, [], 0
 
         def flush():
-            keys, counts = _all(held)
-            share = _share(keys >> U(32), n_shares)
-            order = np.argsort(share, kind="stable")
-            ends = np.searchsorted(share[order], np.arange(n_shares + 1))
-            for k in range(n_shares):
-                mine = order[ends[k] : ends[k + 1]]
-                if len(mine):  # byte planes of sorted keys: the shuffle's compression finds their repeats
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32())] + [pa.array([np.ascontiguousarray(
-                        x[mine].view(np.uint8).reshape(-1, 8).T).tobytes()], pa.binary()) for x in (keys, counts.astype(np.int64))], names=["share", "keys", "counts"])
+            columns, keys, counts = _distinct([np.concatenate(x) for x in zip(*held, strict=True)], None)
+            for k, data in _packed(columns, counts, shares_of(keys, n_shares), n_shares):
+                yield from batch_of(1, share=[k], data=[data]).to_batches()
 
         for batch in pieces(batches):
             if model is None:
-                model = Model(folder, {**facts, "shares": []})
+                model = Model(folder, facts)
                 model.hashes = np.memmap(f"{folder}/vocabulary", U, "r")
             h, at = _tokens(batch)
-            ids = model.ids(h)
-            first = np.roll(ids, 1)
-            first[at[:-1]] = vocabulary
-            keys, counts = np.unique(first.astype(U) << U(32) | ids.astype(U), return_counts=True)
-            _add(held, keys, counts)
-            if sum(len(k) for k, _ in held) > HELD:
+            held.append([x.astype(np.uint32) for x in _columns(model.ids(h), at, vocabulary, order)])
+            size += len(h)
+            if size > HELD:
                 yield from flush()
-                held.clear()
-        yield from flush()
-
-    def write_pairs(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        held: list = []
-        for k, c in zip(table["keys"], table["counts"], strict=True):
-            _add(held, *(np.ascontiguousarray(np.frombuffer(x.as_py(), np.uint8).reshape(8, -1).T).view(t).ravel() for x, t in ((k, U), (c, np.int64))))
-        keys, counts = _all(held)
-        narrow = np.min_scalar_type(int(counts.max()))
-        _replace(f"{folder}/pairs-{key[0].as_py()}.keys", keys)
-        _replace(f"{folder}/pairs-{key[0].as_py()}.counts", counts.astype(narrow))
-        first = (keys >> U(32)).astype(np.int64)
-        begin = np.flatnonzero(np.append(True, first[1:] != first[:-1]))
-        ids, cont = np.unique((keys & U(0xFFFFFFFF)).astype(np.int64), return_counts=True)
-        sums = [np.add.reduceat(x.astype(np.int64), begin) for x in (counts == 1, counts == 2, counts > 2)]
-        zero = np.zeros(len(ids), np.int64)
-        pad = np.zeros(len(begin), np.int64)
-        of = np.concatenate([first[begin], ids, [-1, -2 - key[0].as_py()]])
-        col = lambda a, b, t, s: np.concatenate([a, b, [t, s]])
-        n = [int((counts == k).sum()) for k in (1, 2, 3, 4)]
-        return pa.table({"id": of, "n1": col(sums[0], zero, n[0], narrow.itemsize), "n2": col(sums[1], zero, n[1], 0),
-                         "n3": col(sums[2], zero, n[2], 0), "cont": col(pad, cont, n[3], 0)})
-
-    shape = "id long, n1 long, n2 long, n3 long, cont long"
-    pairs = texts.mapInArrow(count_pairs, "share int, keys binary, counts binary").groupBy("share").applyInArrow(write_pairs, shape)
-    sums = materialize(pairs.groupBy("id").agg(*[F.sum(c).alias(c) for c in ("n1", "n2", "n3", "cont")]))
-    notes = {r["id"]: r for r in sums.where("id < 0").collect()}  # one for the whole and one a share
+                held, size = [], 0
+        if held:
+            yield from flush()
+
+    def write_level(n: int):
+        """Of a share of n-grams: its files, the sums of its contexts, and the n-grams one word shorter for the next level."""
+
+        def write(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+            k = key[0].as_py()
+            if k < 0:
+                return table
+            parts = [_unpacked(x.as_py(), n) for x in table["data"]]
+            columns, keys, counts = _distinct([np.concatenate(x) for x in zip(*[c for c, _ in parts], strict=True)], np.concatenate([c for _, c in parts]))
+
+            def put(name: str, hashes: np.ndarray, values: np.ndarray, kind: str) -> None:
+                by = np.argsort(hashes)
+                for part, data in zip(("high", "low", kind), (*_halves(hashes[by]), _narrow(values[by])), strict=True):
+                    _replace(f"{folder}/{name}-{k}.{part}", data)
+
+            put(f"g{n}", _stored(keys[-1], n), counts, "counts")
+            of = [int((counts == c).sum()) for c in (1, 2, 3, 4)]
+            out = [batch_of(1, share=[-1], id=[-n], n1=[of[0]], n2=[of[1]], n3=[of[2]], total=[of[3]], cont=[0])]
+            flags = [counts, counts == 1, counts == 2, counts > 2]
+            by = keys[-2] if n > 2 else columns[0]
+            order_ = np.argsort(by, kind="stable")
+            begin = np.flatnonzero(np.append(True, np.diff(by[order_].astype(U)) != 0))
+            sums = [np.add.reduceat(x[order_].astype(np.int64), begin) for x in flags]
+            context = by[order_][begin]
+            if n > 2:
+                put(f"x{n}", _stored(context, n - 1), np.stack(sums, 1), "sums")
+                shorter, short_keys, conts = _distinct(columns[1:], None)
+                packed = list(_packed(shorter, conts, shares_of(short_keys, n_shares), n_shares))
+                out.append(batch_of(len(packed), share=[p[0] for p in packed], data=[p[1] for p in packed]))
+            else:
+                after, conts = np.unique(columns[1], return_counts=True)
+                zero = np.zeros(len(after), np.int64)
+                out.append(batch_of(len(context), share=np.full(len(context), -1), id=context, n1=sums[1], n2=sums[2], n3=sums[3], total=sums[0], cont=np.zeros(len(context), np.int64)))
+                out.append(batch_of(len(after), share=np.full(len(after), -1), id=after, n1=zero, n2=zero, n3=zero, total=zero, cont=conts))
+            return pa.concat_tables(out)
+
+        return write
+
+    rows = texts.mapInArrow(count_grams, shape)
+    for n in range(order, 1, -1):
+        rows = rows.groupBy("share").applyInArrow(write_level(n), shape)
+    sums = materialize(rows.groupBy("id").agg(*[F.sum(c).alias(c) for c in ("n1", "n2", "n3", "total", "cont")]))
+    notes = {-r["id"]: r for r in sums.where("id < 0").collect()}  # one a level
     counts = [F.count(F.when(F.col("cont") == k, 1)) for k in (1, 2, 3, 4)] + [F.count(F.when(F.col("cont") > 2, 1)), F.sum("cont")]
     m1, m2, m3, m4, more, total = sums.where("id >= 0").agg(*counts).first()
-    texts_seen = texts.count()
-    facts |= {"n_shares": n_shares, "shares": [(-2 - k, np.dtype(f"u{r['n1']}").str) for k, r in sorted(notes.items()) if k < -1], "pairs": total, "texts": texts_seen,
-              "high": discounts((notes[-1]["n1"], notes[-1]["n2"], notes[-1]["n3"], notes[-1]["cont"])), "low": discounts((m1, m2, m3, m4))}
-    facts["low_rest"] = float(np.dot(facts["low"], (m1, m2, more)))
+    facts["pairs"] = total
+    facts["discounts"] = {1: discounts((m1, m2, m3, m4)), **{n: discounts((r["n1"], r["n2"], r["n3"], r["total"])) for n, r in notes.items()}}
+    facts["low_rest"] = float(np.dot(facts["discounts"][1], (m1, m2, more)))
 
     def write_rows(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         begin = key[0].as_py() * WORD_SHARE
         ids = table["id"].to_numpy() - begin
-        rows = np.zeros((min(WORD_SHARE, vocabulary + 1 - begin), 5), kind)
-        for i, c in enumerate(("c", "n1", "n2", "n3", "cont")):
+        rows = np.zeros((min(WORD_SHARE, vocabulary + 1 - begin), 6), kind)
+        for i, c in enumerate(("c", "n1", "n2", "n3", "total", "cont")):
             rows[ids, i] = table[c].to_numpy()
         with open(os.open(f"{folder}/words", os.O_RDWR | os.O_CREAT, 0o644), "r+b") as f:
-            os.pwrite(f.fileno(), rows.tobytes(), begin * rows.itemsize * 5)
+            os.pwrite(f.fileno(), rows.tobytes(), begin * rows.itemsize * 6)
         return pa.table({"n": pa.array([len(ids)], pa.int64())})
 
     per_word = sums.where("id >= 0").join(counted, "id", "full_outer").na.fill(0).withColumn("share", (F.col("id") / WORD_SHARE).cast("long"))
     per_word.groupBy("share").applyInArrow(write_rows, "n long").agg(F.sum("n")).first()
-    reader.facts = facts
-    return reader
+    discard(counted, sums)
+    return Model(folder, facts)
 
 
 def score(documents: DataFrame, model: Model, *columns: str) -> DataFrame:
@@ -288,25 +411,23 @@ def score(documents: DataFrame, model: Model, *columns: str) -> DataFrame:
             m = m or Model(folder, facts).open()
             h, at = _tokens(batch)
             ids = m.ids(h)
-            first = np.roll(ids, 1)
-            first[at[:-1]] = facts["vocabulary"]
             c = np.where(ids >= 0, m.words[np.maximum(ids, 0), 0], 0).astype(np.float64)
             base = np.log10((c + 1) / (facts["tokens"] + facts["vocabulary"] + 1))
             add = lambda x: np.add.reduceat(x, at[:-1])
             yield pa.RecordBatch.from_arrays([batch.column(k) for k in columns] + [pa.array(np.diff(at)), pa.array(add((ids >= 0).astype(np.int64))),
-                                             pa.array(add(base)), pa.array(add(m.log10(first, ids)))], names=[*columns, "n_tokens", "n_known", "base_score", "score"])
+                                             pa.array(add(base)), pa.array(add(m.log10(_columns(ids, at, facts["vocabulary"], facts["order"]))))], names=[*columns, "n_tokens", "n_known", "base_score", "score"])
 
     shape = ", ".join([f"{k} {rows.schema[k].dataType.simpleString()}" for k in columns] + ["n_tokens long", "n_known long", "base_score double", "score double"])
     return rows.mapInArrow(go, shape)
 
 
-def held_out_scores(documents: DataFrame, fold: int = 2, folds: int = 7) -> DataFrame:
+def held_out_scores(documents: DataFrame, fold: int = 2, folds: int = 7, order: int = 3) -> DataFrame:
     """Learn from texts whose crc32(doc_id) mod ``folds`` is not ``fold``; score all.
 
     ``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity)``.
     """
     rest = F.crc32(F.col("doc_id").cast("string")) % folds
-    model = train(documents.where(rest != fold))
+    model = train(documents.where(rest != fold), order)
     rows = documents.select("doc_id", F.coalesce(rest == fold, F.lit(False)).alias("held_out"), "text")
     return score(rows, model, "doc_id", "held_out").select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.facts["tokens"]).cast("long").alias("train_tokens"), "base_score", "score",

@@ -1,56 +1,74 @@
 import math
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 
+import pytest
+from hardwood.llm import kneser_ney
 from hardwood.llm.kneser_ney import discounts, held_out_scores
 
 
-def brute(rows):
+def brute(rows, order=3):
     tok = {d: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + ["</s>"] for d, t in rows}
     held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d in tok}
-    c, pairs = Counter(), Counter()
+    grams = lambda w: [tuple((["<s>"] * (order - 1) + w)[i : i + order]) for i in range(len(w))]
+    c, count = Counter(), {order: Counter()}
     for d, w in tok.items():
         if not held[d]:
             c.update(w)
-            pairs.update(zip(["<s>", *w], w))
-    n, v, texts = sum(c.values()), len(c), sum(not x for x in held.values())
-    cont, follow = Counter(b for _, b in pairs), defaultdict(lambda: [0, 0, 0])
-    for (a, _), k in pairs.items():
-        follow[a][min(k, 3) - 1] += 1
-    high = discounts([sum(x == k for x in pairs.values()) for k in (1, 2, 3, 4)])
-    low = discounts([sum(x == k for x in cont.values()) for k in (1, 2, 3, 4)])
-    d = lambda dd, k: 0 if k == 0 else dd[min(k, 3) - 1]
-    total = len(pairs)
-    rest = sum(d(low, k) for k in cont.values())
-
-    def p(a, b):
-        u = (max(cont[b] - d(low, cont[b]), 0) + rest / (v + 1)) / total
-        all_ = texts if a == "<s>" else c[a]
-        return u if not all_ else (max(pairs[a, b] - d(high, pairs[a, b]), 0) + sum(x * y for x, y in zip(high, follow[a])) * u) / all_
-
-    return {i: (held[i], len(w), sum(c[x] > 0 for x in w), n, sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w),
-                sum(math.log10(p(a, b)) for a, b in zip(["<s>", *w], w))) for i, w in tok.items()}, p, c
-
-
-def test_table_against_brute_force(spark):
+            count[order].update(grams(w))
+    for n in range(order - 1, 0, -1):
+        count[n] = Counter(g[1:] for g in count[n + 1])
+    n_tokens, v = sum(c.values()), len(c)
+    disc = {n: discounts([sum(x == k for x in count[n].values()) for k in (1, 2, 3, 4)]) for n in count}
+    cut = lambda dd, k: 0 if k == 0 else dd[min(k, 3) - 1]
+    total, rest = {n: Counter() for n in count}, {n: Counter() for n in count}
+    for n in count:
+        for g, k in count[n].items():
+            total[n][g[:-1]] += k
+            rest[n][g[:-1]] += cut(disc[n], k)
+
+    def p(*g):
+        if len(g) == 1:
+            k = count[1][g]
+            return (max(k - cut(disc[1], k), 0) + rest[1][()] / (v + 1)) / total[1][()]
+        n, low = len(g), p(*g[1:])
+        if not total[n][g[:-1]]:
+            return low
+        k = count[n][g]
+        return (max(k - cut(disc[n], k), 0) + rest[n][g[:-1]] * low) / total[n][g[:-1]]
+
+    return {i: (held[i], len(w), sum(c[x] > 0 for x in w), n_tokens, sum(math.log10((c[x] + 1) / (n_tokens + v + 1)) for x in w),
+                sum(math.log10(p(*g)) for g in grams(w))) for i, w in tok.items()}, p, c
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_table_against_brute_force(spark, order):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    want, p, c = brute([(r.doc_id, r.text) for r in df.collect()])
-    got = held_out_scores(df).collect()
+    want, p, c = brute([(r.doc_id, r.text) for r in df.collect()], order)
+    got = held_out_scores(df, order=order).collect()
     assert len(got) == len(want)
     for r in got:
         w = want[r.doc_id]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == w[:4]
         assert math.isclose(r.base_score, w[4], rel_tol=1e-9) and math.isclose(r.score, w[5], rel_tol=1e-9)
-    for a in ("<s>", "the", "of", "nowhere"):
-        assert math.isclose(sum(p(a, b) for b in [*c, "unseen"]), 1, rel_tol=1e-9)
+    for a in (["<s>"] * (order - 1), ["<s>"] * (order - 2) + ["the"], ["nowhere"] * (order - 1)):
+        assert math.isclose(sum(p(*a, b) for b in [*c, "unseen"]), 1, rel_tol=1e-9)
     held = [r for r in got if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_nulls_and_no_training(docs, spark):
-    got = {r.doc_id: r for r in held_out_scores(docs(None, "", "A a", "b")).collect()}
-    assert got[0].n_tokens == 1 and got[2].n_tokens == 3
+def test_shares_and_flushes(spark, monkeypatch):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    monkeypatch.setattr(kneser_ney, "SHARE", 5000)
+    monkeypatch.setattr(kneser_ney, "HELD", 3000)
+    want = brute([(r.doc_id, r.text) for r in df.collect()])[0]
+    assert all(math.isclose(r.score, want[r.doc_id][5], rel_tol=1e-9) for r in held_out_scores(df).collect())
+
+
+def test_nulls_long_texts_and_no_training(docs, spark):
+    got = {r.doc_id: r for r in held_out_scores(docs(None, "", "A a", "b", "z y " * 200_000)).collect()}
+    assert got[0].n_tokens == 1 and got[2].n_tokens == 3 and got[4].n_tokens == 400_001
     none = held_out_scores(spark.createDataFrame([(None, "a b")], "doc_id long, text string")).collect()[0]
     assert none.train_tokens == 0 and none.score == 0 and none.held_out is False
     assert held_out_scores(docs("x").where("false")).collect() == []
