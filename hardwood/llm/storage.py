@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 OWN = "hardwood-tables"
+_LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -20,8 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = tempfile.mkdtemp(prefix="hardwood-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _LOCAL.setdefault(spark.sparkContext.applicationId, None) or tempfile.mkdtemp(prefix="hardwood-")
+        _LOCAL[spark.sparkContext.applicationId] = root
     return f"{root.rstrip('/')}/{OWN}"
 
 
