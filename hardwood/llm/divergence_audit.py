@@ -73,7 +73,7 @@ def _share(count: str, total: str, terms: str) -> F.Column:
     return F.expr(f"1 + cast(1000000000 as decimal(38,0)) * ({count} + 5) div cast({total} + 5 * {terms} as decimal(38,0))")
 
 
-def _own_cell(key, slices: pd.DataFrame) -> pd.DataFrame:
+def _own_cell(key: tuple, slices: pd.DataFrame) -> pd.DataFrame:
     """Partial divergences of a cell's pairs: groups of block ``bi`` with later ones of block ``bj``."""
     lang, bi, bj, _ = key
 
