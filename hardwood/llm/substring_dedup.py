@@ -11,7 +11,8 @@
 
 Words are ``[^\\x20\\x09-\\x0D]+``, unchanged. Null and blank texts have no words. Rows with a null
 ``doc_id`` are kept whole and are no source for others; rows that share a ``doc_id`` are one
-document to the rule (a repeat needs a *smaller* id) and each gives a row. Extra columns are ignored.
+document to the rule (a repeat needs a *smaller* id), each gives a row, and each loses its own words only.
+Windows are matched by two hashes of their words, 96 bits in all. Ids may be of any orderable type. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,9 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .storage import materialize
-from .textarrays import U, Words, list_column, pieces, runs
+from .storage import discard, materialize
+from .textarrays import U, Words, list_column, mix, pieces, runs
 
 
 def _lowest(h: np.ndarray, width: int) -> np.ndarray:
@@ -37,12 +39,9 @@ def _lowest(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(h[: len(h) - rest], h[rest:]) if rest else h
 
 
-def _windows(words: Words, length: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each word at which a window could begin: the window's hash and its seed (texts not told apart)."""
-    h = words.hashes()
-    if len(h) < length:
-        return np.empty(0, U), np.empty(0, U)
-    return runs(h, length), _lowest(runs(h, seed), length - seed + 1)
+def _seeds(h: np.ndarray, length: int, seed: int) -> np.ndarray:
+    """For each word at which a window could begin, the window's seed (texts not told apart)."""
+    return _lowest(runs(h, seed), length - seed + 1) if len(h) >= length else np.empty(0, U)
 
 
 def _plain(words: Words, keep: np.ndarray | None = None) -> tuple[bytes, np.ndarray]:
@@ -75,56 +74,68 @@ def _texts(words: Words, keep: np.ndarray | None = None) -> list[str]:
     return [(text[a : b - 1] if b > a else b"").decode() for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
+def _rows(documents: DataFrame, *more) -> DataFrame:
+    """Ids, texts, and a hash that tells apart the texts of an id."""
+    text = F.col("text").cast("string")
+    return documents.select(*more, "doc_id", F.xxhash64(text).alias("text_key"), text.alias("text"))
+
+
 def repeats(documents: DataFrame, length: int = 50, seed: int = 17) -> tuple[DataFrame, DataFrame]:
-    """``(doc_id, n_words, kept_sha256)`` of all rows before any cut, and ``(doc_id, starts)``: windows to cut.
+    """``(doc_id, text_key, n_words, kept_sha256)`` of all rows before any cut, and ``(doc_id, text_key, starts)``: windows to cut.
 
-    ``starts`` holds the word positions at which a window begins that also starts in a smaller document.
+    ``starts`` holds the word positions at which a window begins that also starts in a smaller document. Both are tables.
     """
+    kind = documents.schema["doc_id"].dataType
 
     def profile(batches):
         for batch in pieces(batches):
             words = Words(batch.column("text"), lower=False)
-            _, low = _windows(words, length, seed)
+            low = _seeds(words.hashes(), length, seed)
             found = [np.unique(low[a : b - length + 1]) if b - a >= length else low[:0] for a, b in zip(words.at[:-1], words.at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id").cast(pa.int64()), pa.array(np.diff(words.at)), pa.array(_digests(words)),
+                batch.column("doc_id"), batch.column("text_key"), pa.array(np.diff(words.at)), pa.array(_digests(words)),
                 list_column(np.concatenate(found), np.concatenate([[0], np.cumsum([len(x) for x in found])]))],
-                names=["doc_id", "n_words", "kept_sha256", "seeds"])
+                names=["doc_id", "text_key", "n_words", "kept_sha256", "seeds"])
 
     def extend(batches):
         for batch in pieces(batches):
             words = Words(batch.column("text"), lower=False)
-            whole, low = _windows(words, length, seed)
-            shared, doc_id = batch.column("shared"), batch.column("doc_id").to_numpy(zero_copy_only=False)
+            h = words.hashes()
+            low, whole, check = _seeds(h, length, seed), runs(h, length), runs(mix(h), length)
+            shared, doc_id, key = batch.column("shared"), batch.column("doc_id"), batch.column("text_key")
             for d, (a, b) in enumerate(zip(words.at[:-1], words.at[1:], strict=True)):
                 if b - a >= length:
                     mine = np.sort(shared[d].values.to_numpy().view(U))
                     own = low[a : b - length + 1]
                     at = np.flatnonzero(mine[np.minimum(np.searchsorted(mine, own), len(mine) - 1)] == own)
-                    keys, inverse = np.unique(whole[a + at], return_inverse=True)
+                    keys, some, inverse = np.unique(whole[a + at], return_index=True, return_inverse=True)
                     order = np.argsort(inverse, kind="stable")
                     ends = np.concatenate([[0], np.cumsum(np.bincount(inverse, minlength=len(keys)))])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), doc_id[d], np.int64)), pa.array(keys.view(np.int64)),
+                    same = pa.array(np.zeros(len(keys), np.int32))
+                    yield pa.RecordBatch.from_arrays([doc_id.slice(d, 1).take(same), key.slice(d, 1).take(same), pa.array(keys.view(np.int64)), pa.array((check[a + at[some]] >> U(32)).astype(np.uint32).view(np.int32)),
                                                       pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(at[order].astype(np.int32)))],
-                                                     names=["doc_id", "window", "at"])
+                                                     names=["doc_id", "text_key", "window", "check", "at"])
 
-    texts = documents.select("doc_id", F.col("text").cast("string").alias("text"))
-    base = materialize(texts.mapInArrow(profile, "doc_id long, n_words long, kept_sha256 string, seeds array<long>"))
-    seeds = base.where("doc_id is not null").select("doc_id", F.explode("seeds").alias("seed"))
+    fields = lambda *more: T.StructType([T.StructField("doc_id", kind), T.StructField("text_key", T.LongType()), *[T.StructField(n, t) for n, t in more]])
+    texts = _rows(documents)
+    base = materialize(texts.mapInArrow(profile, fields(("n_words", T.LongType()), ("kept_sha256", T.StringType()), ("seeds", T.ArrayType(T.LongType())))))
+    seeds = base.where("doc_id is not null").select("doc_id", "text_key", F.explode("seeds").alias("seed"))
     shared = seeds.groupBy("seed").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("seed")
-    mine = materialize(seeds.join(shared, "seed").groupBy("doc_id").agg(F.collect_set("seed").alias("shared")))
-    windows = materialize(texts.join(mine, "doc_id").mapInArrow(extend, "doc_id long, window long, at array<int>"))
-    first = windows.groupBy("window").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("window", "x")
-    cut = windows.join(first, "window").where("doc_id > x")
-    cut = cut.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("starts"))
-    return base.drop("seeds"), materialize(cut)
+    mine = materialize(seeds.join(shared, "seed").groupBy("doc_id", "text_key").agg(F.collect_set("seed").alias("shared")))
+    windows = materialize(texts.join(mine, ["doc_id", "text_key"]).mapInArrow(extend, fields(("window", T.LongType()), ("check", T.IntegerType()), ("at", T.ArrayType(T.IntegerType())))))
+    first = windows.groupBy("window", "check").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("window", "check", "x")
+    cut = windows.join(first, ["window", "check"]).where("doc_id > x")
+    cut = materialize(cut.groupBy("doc_id", "text_key").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("starts")))
+    discard(mine, windows)
+    return base, cut
 
 
 def _mask(words: Words, starts: pa.Array, length: int) -> np.ndarray:
     """Which words stay when the windows that begin at ``starts`` are cut."""
     edge = np.zeros(len(words) + length + 1, np.int32)
     for d, a in enumerate(words.at[:-1]):
-        s = a + starts[d].values.to_numpy()
+        s = starts[d].values.to_numpy()
+        s = a + s[s <= words.at[d + 1] - a - length]  # a window lies within its text
         np.add.at(edge, s, 1)
         np.add.at(edge, s + length, -1)
     return np.cumsum(edge)[: len(words)] == 0
@@ -138,14 +149,16 @@ def substring_digests(documents: DataFrame, length: int = 50, seed: int = 17) ->
             words = Words(batch.column("text"), lower=False)
             keep = _mask(words, batch.column("starts"), length)
             gone = np.concatenate([[0], np.cumsum(~keep)])[words.at]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(np.diff(words.at)), pa.array(np.diff(gone)),
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(words.at)), pa.array(np.diff(gone)),
                                               pa.array(_digests(words, keep))], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     base, cut = repeats(documents, length, seed)
-    texts = documents.select("doc_id", F.col("text").cast("string").alias("text"))
-    changed = texts.join(cut, "doc_id").mapInArrow(go, "doc_id long, n_words long, n_removed long, kept_sha256 string")
-    same = base.join(cut.select("doc_id"), "doc_id", "left_anti").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256")
-    return same.unionByName(changed)
+    out = T.StructType([T.StructField("doc_id", documents.schema["doc_id"].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
+    changed = _rows(documents).join(cut, ["doc_id", "text_key"]).mapInArrow(go, out)
+    same = base.join(cut.select("doc_id", "text_key"), ["doc_id", "text_key"], "left_anti").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256")
+    digests = materialize(same.unionByName(changed))
+    discard(base, cut)
+    return digests
 
 
 def cut_repeats(documents: DataFrame, length: int = 50, seed: int = 17) -> DataFrame:
@@ -155,10 +168,12 @@ def cut_repeats(documents: DataFrame, length: int = 50, seed: int = 17) -> DataF
         for batch in pieces(batches):
             words = Words(batch.column("text"), lower=False)
             keep = _mask(words, batch.column("starts"), length)
-            yield pa.RecordBatch.from_arrays([batch.column("whole"), pa.array(_texts(words, keep))], names=["whole", "cut"])
+            yield pa.RecordBatch.from_arrays([batch.column("__whole"), pa.array(_texts(words, keep))], names=["__whole", "__cut"])
 
-    _, cut = repeats(documents, length, seed)
-    rows = documents.select(F.struct(*documents.columns).alias("whole"), "doc_id", F.col("text").cast("string").alias("text"))
-    changed = rows.join(cut, "doc_id").mapInArrow(go, f"whole {rows.schema['whole'].dataType.simpleString()}, cut string")
-    changed = changed.select(*[F.col("cut").alias(c) if c == "text" else F.col("whole")[c].alias(c) for c in documents.columns])
-    return documents.join(cut.select("doc_id"), "doc_id", "left_anti").select(*documents.columns).unionByName(changed)
+    base, cut = repeats(documents, length, seed)
+    discard(base)
+    rows = _rows(documents, F.struct(*documents.columns).alias("__whole"))
+    changed = rows.join(cut, ["doc_id", "text_key"]).mapInArrow(go, T.StructType([rows.schema["__whole"], T.StructField("__cut", T.StringType())]))
+    changed = changed.select(*[F.col("__cut").alias(c) if c == "text" else F.col("__whole")[c].alias(c) for c in documents.columns])
+    same = rows.join(cut.select("doc_id", "text_key"), ["doc_id", "text_key"], "left_anti").select(*[F.col("__whole")[c].alias(c) for c in documents.columns])
+    return same.unionByName(changed)
