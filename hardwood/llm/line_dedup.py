@@ -19,8 +19,9 @@ ends; blank lines take no part. Equal lines are one (by md5) before anything els
 * **Verification.** Jaccard of all character shingles of ``SHINGLE`` characters, exact, ``num/den`` or more.
 * **Union-find** over the verified links; each component keeps its first line by ``(doc_id, place)``.
 
-A null text has no lines. Rows with a null ``doc_id`` are kept whole and are no source for others. Rows
-that share a ``doc_id`` are alike to the rule: places kept or removed hold for each. Extra columns are
+A null text has no lines. Rows with a null ``doc_id`` are kept whole and are no source for others. Unlike
+texts that share a ``doc_id`` are documents of their own, in an order by hash; rows alike in id and text are one
+document, so what is kept or removed holds for each. Ids may be of any orderable type. Extra columns are
 ignored (kept by :func:`dedup_lines`, whatever their names).
 """
 
@@ -30,6 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
+from .identity import ROW, numbered
 from .storage import discard, materialize
 
 SHINGLE, SKETCH, ANCHORS = 5, 10, 8
@@ -201,7 +203,10 @@ def _links(documents: DataFrame, distinct: DataFrame, num: int, den: int) -> Dat
 
 
 def removed_lines(documents: DataFrame, num: int = 8, den: int = 10) -> DataFrame:
-    """``(doc_id, removed)``: sorted places of lines that another line stands for, where there are any."""
+    """``(doc_id, removed)``: sorted places of lines that another line stands for, where there are any.
+
+    Ids are whole numbers here, and each goes with one text (see :func:`numbered`).
+    """
     lines = _occurrences(documents)
     # equal lines have equal bands: plain minima of longs keep this a hash aggregation
     own = [F.min(f"b{k}").alias(f"b{k}") for k in range(ANCHORS)]
@@ -224,17 +229,20 @@ def removed_lines(documents: DataFrame, num: int = 8, den: int = 10) -> DataFram
 def line_report(documents: DataFrame, num: int = 8, den: int = 10) -> DataFrame:
     """Per row ``(doc_id, n_lines, n_removed, removed)``; places count from 0, ``n_lines`` those not blank."""
     lines = F.filter(_split(F.coalesce(F.col("text").cast("string"), F.lit(""))), lambda x: F.btrim(x, F.lit(WHITE)) != "")
-    rows = documents.select("doc_id", F.size(lines).cast("long").alias("n_lines")).join(removed_lines(documents, num, den), "doc_id", "left")
+    rows, _ = numbered(documents)
+    gone = removed_lines(rows.select(F.col(ROW).alias("doc_id"), "text"), num, den).withColumnRenamed("doc_id", ROW)
+    rows = rows.select("doc_id", ROW, F.size(lines).cast("long").alias("n_lines")).join(gone, ROW, "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
     return rows.select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
 
 
 def dedup_lines(documents: DataFrame, num: int = 8, den: int = 10) -> DataFrame:
     """The documents without those lines; one with no line left goes. ``n_chars``, if there, follows the text."""
-    gone = removed_lines(documents, num, den)
+    rows, _ = numbered(documents)
+    gone = removed_lines(rows.select(F.col(ROW).alias("doc_id"), "text"), num, den)
     places = gone.agg(F.coalesce(F.sum(F.size("removed")), F.lit(0))).first()[0]
     gone = gone.select(F.col("doc_id").alias("id"), "removed")
-    rows = documents.select(F.struct(*documents.columns).alias("row"), F.col("doc_id").cast("long").alias("id")).join(_few(gone, places), "id", "left")
+    rows = rows.select(F.struct(*documents.columns).alias("row"), F.col(ROW).alias("id")).join(_few(gone, places), "id", "left")
     old = F.col("row.text").cast("string")
     left = F.transform(F.array(_split(old)), lambda a: F.transform(F.array_except(F.sequence(F.lit(0), F.size(a) - 1), F.col("removed")), lambda i: a[i]))[0]
     rows = rows.select("row", F.col("removed").isNull().alias("same"), F.when(F.col("removed").isNotNull(), F.array_join(left, "\n")).alias("new"))
