@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,3 +23,18 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return put
+
+
+#: Decimals to which sums are compared that engines add up in other orders.
+DIGITS = 9
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    """``df`` with its doubles rounded to ``DIGITS``."""
+    return df.select(*[F.round(c, DIGITS).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def round_sql(body: str, columns: str | list[str]) -> str:
+    """A query's SQL with those columns rounded alike."""
+    names = columns.split() if isinstance(columns, str) else columns
+    return f"SELECT * REPLACE ({', '.join(f'round(CAST({c} AS DOUBLE), {DIGITS}) AS {c}' for c in names)}) FROM ({body})"

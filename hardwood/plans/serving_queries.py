@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hardwood.functions import text as X
+from hardwood.operators import matching
 from hardwood.operators import metrics as M
 from hardwood.operators import quotes as Q
 from hardwood.operators import windows as W
@@ -213,10 +214,12 @@ def minute_rates(spark, sf):
 
 @query("name_resolution", f"""WITH k AS (SELECT c_custkey AS player_id, {NAME} AS name FROM customer), w AS (SELECT s_suppkey AS entity_id, replace({NAME.replace('c_name', 's_name')}, 'supplier', CASE WHEN s_suppkey % 2 = 0 THEN 'customer' ELSE 'custmer' END) AS name FROM supplier),
 x AS (SELECT entity_id, MIN(player_id) AS player_id FROM w JOIN k USING (name) GROUP BY entity_id),
-c AS (SELECT w.entity_id, k.player_id, levenshtein(w.name, k.name) AS d, length(w.name) AS a, length(k.name) AS b FROM w JOIN k ON right(k.name, 4) = right(w.name, 4) WHERE w.entity_id NOT IN (SELECT entity_id FROM x)),
-b AS (SELECT entity_id, player_id, 1 - d / greatest(a, b)::DOUBLE AS score FROM c WHERE 1 - d / greatest(a, b)::DOUBLE >= 0.9 QUALIFY ROW_NUMBER() OVER (PARTITION BY entity_id ORDER BY score DESC, player_id) = 1)
+c AS (SELECT w.entity_id, k.player_id, w.name AS a, k.name AS b, (CAST(1 AS BIGINT) << length(k.name)) - 1 AS allbits FROM w, k WHERE w.entity_id NOT IN (SELECT entity_id FROM x)),
+m AS (SELECT *, list_transform(string_split(a, ''), lambda ch: CAST(list_sum(list_transform(range(0, length(b)), lambda i: CASE WHEN substr(b, CAST(i + 1 AS INTEGER), 1) = ch THEN CAST(1 AS BIGINT) << CAST(i AS INTEGER) ELSE 0 END)) AS BIGINT)) AS masks FROM c),
+l AS (SELECT entity_id, player_id, a, b, length(b) - bit_count(list_reduce(list_prepend(allbits, masks), lambda v, m: ((v + (v & m)) | (v - (v & m))) & allbits)) AS common FROM m),
+b AS (SELECT entity_id, player_id, 2.0::DOUBLE * common / (length(a) + length(b)) AS score FROM l WHERE 2.0::DOUBLE * common / (length(a) + length(b)) >= 0.9::DOUBLE - 1e-12 QUALIFY ROW_NUMBER() OVER (PARTITION BY entity_id ORDER BY score DESC, player_id) = 1)
 SELECT entity_id, player_id, 1.0::DOUBLE AS confidence FROM x UNION ALL SELECT entity_id, player_id, score FROM b""")
 def name_resolution(spark, sf):
     known = table(spark, sf, "customer").select(F.col("c_custkey").alias("player_id"), X.normalize_name(F.col("c_name")).alias("name"))
     wanted = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("entity_id"), F.replace(X.normalize_name(F.col("s_name")), F.lit("supplier"), F.when(F.col("s_suppkey") % 2 == 0, "customer").otherwise("custmer")).alias("name"))
-    return X.resolve_names(wanted, known, 0.9)
+    return matching.resolve_names(wanted, known, 0.9)

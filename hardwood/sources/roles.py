@@ -35,6 +35,18 @@ def game_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("o_orderkey") % 2 == 0).alias("is_home"), (F.col("o_orderkey") % 3 == 0).alias("starter"))
 
 
+def box_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Game logs with attempts, fouls, possessions, usage and the market's total; some values are missing."""
+    k = F.col("l_orderkey")
+    more = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+        F.sum(F.col("l_suppkey") % 7).alias("field_goal_attempts"), F.sum(F.col("l_partkey") % 5).alias("free_throw_attempts"),
+        F.count_if(F.col("l_partkey") % 3 == 0).alias("fouls"), F.when(k % 13 > 0, F.sum(F.col("l_suppkey") % 30)).alias("possessions"),
+        F.when(k % 7 > 0, F.sum(F.col("l_linenumber") * 9 % 40).cast("double") / F.count(F.lit(1))).alias("usage_percentage"))
+    g = game_logs(spark, sf_dir).join(more, F.col("game_id") == k).drop("l_orderkey")
+    code = F.element_at(F.array(*[F.lit(x) for x in ("Guard", "f", " C", "")]), F.col("position").cast("int") % 5 + 1)
+    return g.withColumns({"position": F.when(F.col("position") != "4", code), "total": F.when(F.col("game_id") % 6 > 0, (200 + F.col("game_id") % 60).cast("double"))})
+
+
 def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quote snapshots; ``ts`` is unique."""
     k = F.col("event_id")
@@ -95,6 +107,11 @@ VIEWS = {
     o.o_orderkey % 2 = 0 AS is_home, o.o_orderkey % 3 = 0 AS starter
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON c.c_custkey = o.o_custkey
   GROUP BY o.o_custkey, o.o_orderkey, c.c_nationkey, o.o_orderdate, o.o_orderpriority, o.o_orderstatus)""",
+    "box_scores": """box_scores AS (
+  SELECT g.* EXCLUDE (position), CASE WHEN position <> '4' THEN (['Guard', 'f', ' C', ''])[CAST(position AS INTEGER) % 5 + 1] END AS position, field_goal_attempts, free_throw_attempts, fouls, possessions, usage_percentage,
+    CASE WHEN g.game_id % 6 > 0 THEN CAST(200 + g.game_id % 60 AS DOUBLE) END AS total
+  FROM game_logs g JOIN (SELECT l_orderkey, CAST(SUM(l_suppkey % 7) AS BIGINT) AS field_goal_attempts, CAST(SUM(l_partkey % 5) AS BIGINT) AS free_throw_attempts, COUNT(*) FILTER (WHERE l_partkey % 3 = 0) AS fouls,
+    CASE WHEN l_orderkey % 13 > 0 THEN CAST(SUM(l_suppkey % 30) AS BIGINT) END AS possessions, CASE WHEN l_orderkey % 7 > 0 THEN CAST(SUM(l_linenumber * 9 % 40) AS DOUBLE) / COUNT(*) END AS usage_percentage FROM lineitem GROUP BY l_orderkey) m ON m.l_orderkey = g.game_id)""",
     "quotes": """quotes AS (
   SELECT event_id AS snapshot_id, ts, user_id AS player_id, event_type AS market_key, event_id % 5 AS sportsbook_id, event_id % 7 AS game_id, value AS line_value,
     CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 2 = 0 THEN -(100 + event_id % 120) ELSE 100 + event_id % 180 END AS over_odds,
@@ -114,7 +131,7 @@ VIEWS = {
     (['out','doubtful','Questionable','available','Inactive'])[event_id % 5 + 1] AS status, e.value AS expected_minutes, e.event_id % 2 = 0 AS projected_starter, e.event_id % 11 = 0 AS official_inactive
   FROM events e JOIN orders o ON o.o_orderkey = e.event_id - e.event_id % 4 JOIN customer c ON c.c_custkey = o.o_custkey JOIN teammates t ON t.team_id = c.c_nationkey AND t.i = e.event_id % t.n)""",
 }
-NEEDS = {"predictions": ("game_logs",), "reports": ("teammates",)}
+NEEDS = {"predictions": ("game_logs",), "box_scores": ("game_logs",), "reports": ("teammates",)}
 
 
 def sql(views: str, body: str) -> str:
