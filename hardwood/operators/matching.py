@@ -5,8 +5,9 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def common_length(a: pd.Series, b: pd.Series) -> pd.Series:
     """Length of the longest common subsequence, with a string as one integer of bits and a few operations a character."""
 
