@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ORDER = ("game_date", "start_time", "game_id")
+from .places import places
+from .slices import ORDER, sliced_means
+
 WINDOWS = (3, 5, 10, 20)
 
 
@@ -108,11 +110,16 @@ def role_features(games: DataFrame) -> DataFrame:
 
 
 def opponent_allowed(games: DataFrame, metric: str = "points") -> DataFrame:
-    """What an opponent allowed in earlier games: to this player (3), to the position (10), to anyone (10); the first known."""
-    x = F.col(metric).cast("double")
-    mean = lambda n, *k: F.avg(x).over(before(by(*k), n))
-    mine, pos, any_ = mean(3, "player_id", "opponent_team_id"), mean(10, "opponent_team_id", "position"), mean(10, "opponent_team_id")
-    return games.select("player_id", "game_id", F.coalesce(mine, pos, any_, F.lit(0.0)).alias("allowed"), any_.alias("allowed_any_10"))
+    """What an opponent allowed in earlier games: to this player (3), to the position (10), to anyone (10); the first known.
+
+    Opponents and positions are few, so their windows run over monthly slices.
+    """
+    ids = ["player_id", "game_id"]
+    mine = games.select(*ids, F.avg(F.col(metric).cast("double")).over(before(by("player_id", "opponent_team_id"), 3)).alias("mine"))
+    pos = sliced_means(games, ["opponent_team_id", "position"], {"pos": (metric, 10)}, ids)
+    any_ = sliced_means(games, ["opponent_team_id"], {"allowed_any_10": (metric, 10)}, ids)
+    d = mine.join(pos, ids).join(any_, ids)
+    return d.select(*ids, F.coalesce("mine", "pos", "allowed_any_10", F.lit(0.0)).alias("allowed"), "allowed_any_10")
 
 
 def hit_rate(games: DataFrame) -> DataFrame:
@@ -125,17 +132,18 @@ def hit_rate(games: DataFrame) -> DataFrame:
 def blended_pace(games: DataFrame) -> DataFrame:
     """Team and opponent pace over ten earlier team games, blended with the total of both."""
     t = games.groupBy("team_id", "game_id", "opponent_team_id", "game_date", "start_time").agg(F.sum("pra").cast("double").alias("pace"))
-    own, other = F.avg("pace").over(before(by("team_id"), 10)), F.avg("pace").over(before(by("opponent_team_id"), 10))
-    t = t.select("team_id", "game_id", F.coalesce(own, F.lit(0.0)).alias("a"), F.coalesce(other, F.lit(0.0)).alias("b"))
+    ids = ["team_id", "game_id"]
+    own = sliced_means(t, ["team_id"], {"a": ("pace", 10)}, ids)
+    other = sliced_means(t, ["opponent_team_id"], {"b": ("pace", 10)}, ids)
+    t = own.join(other, ids).na.fill(0.0, ["a", "b"])
     return t.select("team_id", "game_id", (0.45 * F.col("a") + 0.45 * F.col("b") + 0.10 * (F.col("a") + F.col("b")) / 4.8).alias("blended_pace"))
 
 
 def profile_bucket(players: DataFrame) -> DataFrame:
     """Quartile 0 to 3 of a player's mean minutes within the position."""
     g = players.groupBy("player_id").agg(F.avg("minutes").alias("m"), F.min("position").alias("position"))
-    rank = F.row_number().over(Window.partitionBy("position").orderBy("m", "player_id"))
-    size = F.count(F.lit(1)).over(Window.partitionBy("position"))
-    return g.select("player_id", "position", F.least(F.floor(rank * 4 / size), F.lit(3)).cast("long").alias("bucket"))
+    p = places(g, ["position"], ["m", "player_id"], ["player_id"])
+    return p.select("player_id", "position", F.least(F.floor((F.col("place") + 1) * 4 / F.col("of")), F.lit(3)).cast("long").alias("bucket"))
 
 
 def trade_context(games: DataFrame) -> DataFrame:
