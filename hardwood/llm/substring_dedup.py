@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .identity import ROW, numbered
 from .storage import discard, materialize
 from .textarrays import U, Words, list_column, mix, pieces, runs
 
@@ -74,17 +75,12 @@ def _texts(words: Words, keep: np.ndarray | None = None) -> list[str]:
     return [(text[a : b - 1] if b > a else b"").decode() for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
-def _rows(documents: DataFrame, *more) -> DataFrame:
-    """Ids, texts, and a hash that tells apart the texts of an id."""
-    text = F.col("text").cast("string")
-    return documents.select(*more, "doc_id", F.xxhash64(text).alias("text_key"), text.alias("text"))
+def repeats(documents: DataFrame, length: int = 50, seed: int = 17) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The documents with a number each (see :func:`numbered`), ``(doc_id, n_words, kept_sha256)`` of all rows before any cut with the number, and ``(number, starts)``.
 
-
-def repeats(documents: DataFrame, length: int = 50, seed: int = 17) -> tuple[DataFrame, DataFrame]:
-    """``(doc_id, text_key, n_words, kept_sha256)`` of all rows before any cut, and ``(doc_id, text_key, starts)``: windows to cut.
-
-    ``starts`` holds the word positions at which a window begins that also starts in a smaller document. Both are tables.
+    ``starts`` holds the word positions at which a window begins that also starts in a smaller document. The last two are tables.
     """
+    rows, names = numbered(documents)
     kind = documents.schema["doc_id"].dataType
 
     def profile(batches):
@@ -93,41 +89,41 @@ def repeats(documents: DataFrame, length: int = 50, seed: int = 17) -> tuple[Dat
             low = _seeds(words.hashes(), length, seed)
             found = [np.unique(low[a : b - length + 1]) if b - a >= length else low[:0] for a, b in zip(words.at[:-1], words.at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), batch.column("text_key"), pa.array(np.diff(words.at)), pa.array(_digests(words)),
+                batch.column("doc_id"), batch.column(ROW), pa.array(np.diff(words.at)), pa.array(_digests(words)),
                 list_column(np.concatenate(found), np.concatenate([[0], np.cumsum([len(x) for x in found])]))],
-                names=["doc_id", "text_key", "n_words", "kept_sha256", "seeds"])
+                names=["doc_id", ROW, "n_words", "kept_sha256", "seeds"])
 
     def extend(batches):
         for batch in pieces(batches):
             words = Words(batch.column("text"), lower=False)
             h = words.hashes()
             low, whole, check = _seeds(h, length, seed), runs(h, length), runs(mix(h), length)
-            shared, doc_id, key = batch.column("shared"), batch.column("doc_id"), batch.column("text_key")
+            shared, number = batch.column("shared"), batch.column(ROW).to_numpy()
             for d, (a, b) in enumerate(zip(words.at[:-1], words.at[1:], strict=True)):
                 if b - a >= length:
                     mine = np.sort(shared[d].values.to_numpy().view(U))
                     own = low[a : b - length + 1]
                     at = np.flatnonzero(mine[np.minimum(np.searchsorted(mine, own), len(mine) - 1)] == own)
-                    keys, some, inverse = np.unique(whole[a + at], return_index=True, return_inverse=True)
-                    order = np.argsort(inverse, kind="stable")
-                    ends = np.concatenate([[0], np.cumsum(np.bincount(inverse, minlength=len(keys)))])
-                    same = pa.array(np.zeros(len(keys), np.int32))
-                    yield pa.RecordBatch.from_arrays([doc_id.slice(d, 1).take(same), key.slice(d, 1).take(same), pa.array(keys.view(np.int64)), pa.array((check[a + at[some]] >> U(32)).astype(np.uint32).view(np.int32)),
-                                                      pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(at[order].astype(np.int32)))],
-                                                     names=["doc_id", "text_key", "window", "check", "at"])
-
-    fields = lambda *more: T.StructType([T.StructField("doc_id", kind), T.StructField("text_key", T.LongType()), *[T.StructField(n, t) for n, t in more]])
-    texts = _rows(documents)
-    base = materialize(texts.mapInArrow(profile, fields(("n_words", T.LongType()), ("kept_sha256", T.StringType()), ("seeds", T.ArrayType(T.LongType())))))
-    seeds = base.where("doc_id is not null").select("doc_id", "text_key", F.explode("seeds").alias("seed"))
-    shared = seeds.groupBy("seed").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("seed")
-    mine = materialize(seeds.join(shared, "seed").groupBy("doc_id", "text_key").agg(F.collect_set("seed").alias("shared")))
-    windows = materialize(texts.join(mine, ["doc_id", "text_key"]).mapInArrow(extend, fields(("window", T.LongType()), ("check", T.IntegerType()), ("at", T.ArrayType(T.IntegerType())))))
-    first = windows.groupBy("window", "check").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("window", "check", "x")
-    cut = windows.join(first, ["window", "check"]).where("doc_id > x")
-    cut = materialize(cut.groupBy("doc_id", "text_key").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("starts")))
-    discard(mine, windows)
-    return base, cut
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), number[d])), pa.array(whole[a + at].view(np.int64)), pa.array((check[a + at] >> U(32)).astype(np.uint32).view(np.int32)), pa.array(at.astype(np.int32))],
+                                                     names=[ROW, "window", "check", "at"])
+
+    texts = rows.select("doc_id", ROW, F.col("text").cast("string").alias("text"))
+    fields = T.StructType([T.StructField("doc_id", kind), T.StructField(ROW, T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("seeds", T.ArrayType(T.LongType()))])
+    base = materialize(texts.mapInArrow(profile, fields))
+    seeds = base.where(F.col(ROW).isNotNull()).select(ROW, F.explode("seeds").alias("seed"))
+    shared = seeds.groupBy("seed").agg(F.min(ROW).alias("x"), F.max(ROW).alias("y")).where("x < y").select("seed")
+    mine = materialize(seeds.join(shared, "seed").groupBy(ROW).agg(F.collect_set("seed").alias("shared")))
+    windows = materialize(texts.dropDuplicates([ROW]).join(mine, ROW).mapInArrow(extend, f"{ROW} long, window long, check int, at int") if names is not None else
+                          texts.join(mine, ROW).mapInArrow(extend, f"{ROW} long, window long, check int, at int"))
+    discard(mine)
+    first = windows.groupBy("window", "check").agg(F.min(ROW).alias("x"), F.max(ROW).alias("y")).where("x < y").select("window", "check", "x")
+    cut = windows.join(first, ["window", "check"]).where(F.col(ROW) > F.col("x"))
+    if names is not None:  # texts of one id are one document: the smallest one must have a smaller id
+        name = lambda r: names.select(F.col(ROW).alias(r), F.col("__id").alias(f"{r}_id"))
+        cut = cut.withColumnRenamed(ROW, "row").join(name("row"), "row").join(name("x"), "x").where("x_id < row_id").withColumnRenamed("row", ROW)
+    cut = materialize(cut.groupBy(ROW).agg(F.collect_set("at").alias("starts")))
+    discard(windows)
+    return rows, base, cut
 
 
 def _mask(words: Words, starts: pa.Array, length: int) -> np.ndarray:
@@ -152,10 +148,10 @@ def substring_digests(documents: DataFrame, length: int = 50, seed: int = 17) ->
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(words.at)), pa.array(np.diff(gone)),
                                               pa.array(_digests(words, keep))], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    base, cut = repeats(documents, length, seed)
+    rows, base, cut = repeats(documents, length, seed)
     out = T.StructType([T.StructField("doc_id", documents.schema["doc_id"].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
-    changed = _rows(documents).join(cut, ["doc_id", "text_key"]).mapInArrow(go, out)
-    same = base.join(cut.select("doc_id", "text_key"), ["doc_id", "text_key"], "left_anti").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256")
+    changed = rows.select("doc_id", ROW, F.col("text").cast("string").alias("text")).join(cut, ROW).select("doc_id", "text", "starts").mapInArrow(go, out)
+    same = base.join(cut.select(ROW), ROW, "left_anti").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256")
     digests = materialize(same.unionByName(changed))
     discard(base, cut)
     return digests
@@ -170,10 +166,10 @@ def cut_repeats(documents: DataFrame, length: int = 50, seed: int = 17) -> DataF
             keep = _mask(words, batch.column("starts"), length)
             yield pa.RecordBatch.from_arrays([batch.column("__whole"), pa.array(_texts(words, keep))], names=["__whole", "__cut"])
 
-    base, cut = repeats(documents, length, seed)
+    rows, base, cut = repeats(documents, length, seed)
     discard(base)
-    rows = _rows(documents, F.struct(*documents.columns).alias("__whole"))
-    changed = rows.join(cut, ["doc_id", "text_key"]).mapInArrow(go, T.StructType([rows.schema["__whole"], T.StructField("__cut", T.StringType())]))
+    rows = rows.select(F.struct(*documents.columns).alias("__whole"), ROW, F.col("text").cast("string").alias("text"))
+    changed = rows.join(cut, ROW).select("__whole", "text", "starts").mapInArrow(go, T.StructType([rows.schema["__whole"], T.StructField("__cut", T.StringType())]))
     changed = changed.select(*[F.col("__cut").alias(c) if c == "text" else F.col("__whole")[c].alias(c) for c in documents.columns])
-    same = rows.join(cut.select("doc_id", "text_key"), ["doc_id", "text_key"], "left_anti").select(*[F.col("__whole")[c].alias(c) for c in documents.columns])
+    same = rows.join(cut.select(ROW), ROW, "left_anti").select(*[F.col("__whole")[c].alias(c) for c in documents.columns])
     return same.unionByName(changed)
