@@ -104,8 +104,8 @@ def divergence_audit(documents: DataFrame, least_docs: int = 30, ranks: int = 50
     counts = materialize(term_counts(documents))
     vocabulary = counts.where("term is not null").groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_n")).where(F.col("docs") >= least_docs)
     sizes = vocabulary.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("lang_n").alias("lang_total"))
-    kept = materialize(vocabulary.join(sizes, "lang").withColumn("bt", F.expr(f"pmod(xxhash64(term), cast(ceil(v / {terms}) as bigint))"))
-                       .select("lang", "term", "lang_n", "v", "lang_total", "bt", (F.row_number().over(Window.partitionBy("lang", "bt").orderBy("term")) - 1).alias("at")))
+    dealt = vocabulary.join(sizes, "lang").withColumn("bt", F.expr(f"pmod(xxhash64(term), cast(ceil(v / {terms}) as bigint))"))
+    kept = materialize(dealt.repartition("lang", "bt").select("lang", "term", "lang_n", "v", "lang_total", "bt", (F.row_number().over(Window.partitionBy("lang", "bt").orderBy("term")) - 1).alias("at")))
     there = materialize(counts.where("term is not null").join(kept, ["lang", "term"]))
     totals = there.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     sizes = kept.groupBy("lang").agg(F.max("v").alias("v"), F.max("lang_total").alias("lang_total"))
