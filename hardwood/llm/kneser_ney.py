@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import discard, materialize, shared_dir
-from .textarrays import U, Words, mix, pieces
+from .textarrays import U, Words, mix, pieces, shape
 
 END = mix(np.array([0xE0D], U))[0]
 #: N-grams and words of one share.
@@ -417,8 +417,7 @@ def score(documents: DataFrame, model: Model, *columns: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(k) for k in columns] + [pa.array(np.diff(at)), pa.array(add((ids >= 0).astype(np.int64))),
                                              pa.array(add(base)), pa.array(add(m.log10(_columns(ids, at, facts["vocabulary"], facts["order"]))))], names=[*columns, "n_tokens", "n_known", "base_score", "score"])
 
-    shape = ", ".join([f"{k} {rows.schema[k].dataType.simpleString()}" for k in columns] + ["n_tokens long", "n_known long", "base_score double", "score double"])
-    return rows.mapInArrow(go, shape)
+    return rows.mapInArrow(go, shape(rows, columns, "n_tokens long, n_known long, base_score double, score double"))
 
 
 def held_out_scores(documents: DataFrame, fold: int = 2, folds: int = 7, order: int = 3) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textarrays import flat, pieces
+from .textarrays import flat, pieces, shape
 
 LENGTH, WIDTHS, FILTERS, DIM, BATCH = 256, (2, 3, 4), 16, 8, 1024
 UNDETERMINED = "und"
@@ -202,8 +202,7 @@ def predict(documents: DataFrame, net: Network | None, *columns: str, with_text:
                 top[yes] = p[yes].max(1)
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(lang, pa.string()), pa.array(top)], names=[*kept, "lang_pred", "score"])
 
-    shape = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept] + ["lang_pred string", "score double"])
-    return rows.mapInArrow(go, shape)
+    return rows.mapInArrow(go, shape(rows, kept, "lang_pred string, score double"))
 
 
 def held_out_languages(documents: DataFrame, fold: int = 2, folds: int = 4, per_language: int = 400) -> DataFrame:

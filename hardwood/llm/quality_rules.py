@@ -12,6 +12,8 @@ words. Rows each give a row; extra columns are ignored.
 from __future__ import annotations
 
 import time
+import unicodedata
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textarrays import U, Words, mix, pieces, runs
+from .textarrays import U, Words, mix, pieces, runs, shape
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -28,7 +30,7 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 _LETTER = np.zeros(256, bool)
-_LETTER[[*range(65, 91), *range(97, 123), *range(0xC0, 0x100)]] = True  # lead bytes stand for letters beyond ASCII
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
 
 _LEAD = (np.arange(256) & 0xC0) != 0x80  # one byte of each character
 
@@ -88,14 +90,23 @@ class Texts:
 Rule = Callable[[Texts, np.ndarray], np.ndarray]
 
 
-def _share(flags: np.ndarray, most: float | None = None, least: float | None = None) -> Rule:
+def _share(flags: np.ndarray, most: float) -> Rule:
     def reject(t: Texts, rows: np.ndarray) -> np.ndarray:
-        s = np.array([flags[x].sum() / max((~_SPACE[x] & _LEAD[x]).sum(), 1) for x in t.of(rows)])
-        return s > most if most is not None else s < least
+        return np.array([flags[x].sum() / max((~_SPACE[x] & _LEAD[x]).sum(), 1) for x in t.of(rows)]) > most
 
     return reject
 
 
+def _letters(t: Texts, rows: np.ndarray) -> np.ndarray:
+    """Fewer than 0.4 of the characters are letters, marks on letters included; those beyond ASCII by their Unicode category."""
+    share = []
+    for x in t.of(rows):
+        beyond = Counter(x[x >= 0x80].tobytes().decode("utf-8", "replace"))
+        n = _LETTER[x].sum() + sum(k for c, k in beyond.items() if unicodedata.category(c)[0] in "LM")
+        share.append(n / max((~_SPACE[x] & _LEAD[x]).sum(), 1))
+    return np.array(share) < 0.4
+
+
 def _word_length(t: Texts, rows: np.ndarray) -> np.ndarray:
     w = t.words
     size = np.concatenate([[0], np.cumsum(t.word_sizes())])[w.at]
@@ -122,7 +133,7 @@ def _one_word(t: Texts, rows: np.ndarray) -> np.ndarray:
 RULES: dict[str, Rule] = {
     "symbols": _share(_SYMBOL, most=0.15),
     "digits": _share(_DIGIT, most=0.4),
-    "letters": _share(_LETTER, least=0.4),
+    "letters": _letters,
     "word length": _word_length,
     "long word": _long_word,
     "one word": _one_word,
@@ -175,9 +186,8 @@ def judge_quality(documents: DataFrame, *columns: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in columns] + [pa.array(v.astype(np.int64)) for v in base.values()] + [pa.array(failed), pa.array(kept)],
                                              names=[*columns, *base, "base_failed", "kept"])
 
-    shape = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns] + [f"{k} long" for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-                      + ["base_failed boolean", "kept boolean"])
-    return rows.mapInArrow(go, shape)
+    more = ", ".join(f"{k} long" for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))
+    return rows.mapInArrow(go, shape(rows, columns, f"{more}, base_failed boolean, kept boolean"))
 
 
 def keep_good(documents: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textarrays import pieces
+from .textarrays import pieces, shape
 
 # Base kinds in their order, keywords and expressions.
 BASE = ("assign", "access", "hex")
@@ -122,8 +122,7 @@ def find_secrets(documents: DataFrame, *columns: str) -> DataFrame:
             spans = [[{"kind": k, "start": a, "end": b} for a, b, k in scan(t.as_py())] for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in columns] + [pa.array(spans, kind)], names=[*columns, "secrets"])
 
-    shape = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns] + ["secrets array<struct<kind:string,start:bigint,end:bigint>>"])
-    return rows.mapInArrow(go, shape)
+    return rows.mapInArrow(go, shape(rows, columns, "secrets array<struct<kind:string,start:bigint,end:bigint>>"))
 
 
 def secret_digests(documents: DataFrame) -> DataFrame:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 U = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -28,6 +30,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE = mix(np.arange(1, 257, dtype=U) * _PRIME)
 
 
+def shape(rows: DataFrame, columns: Sequence[str], more: str) -> T.StructType:
+    """The schema of some columns of ``rows``, whatever their names, and ``more``."""
+    return T.StructType([rows.schema[c] for c in columns] + T.StructType.fromDDL(more).fields)
+
+
 def flat(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts end to end, and where each begins (nulls are empty)."""
     if text.null_count:

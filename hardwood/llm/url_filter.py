@@ -129,9 +129,10 @@ def judge_urls(pages: DataFrame, redirects: DataFrame | None = None, rules: tupl
 
 
 def keep_allowed(pages: DataFrame, redirects: DataFrame | None = None, rules: tuple = RULES) -> DataFrame:
-    """The pages whose url is not blocked; a ``page_id`` of several rows goes if one of them is blocked."""
-    gone = judge_urls(pages, redirects, rules).where("verdict = 'block'").select("page_id").distinct()
-    return pages.join(gone, "page_id", "left_anti").select(*pages.columns)
+    """The rows whose url is not blocked, each judged by itself, whatever its ``page_id``."""
+    rows = pages.select(F.struct(*pages.columns).alias("page_id"), "url", *(["html"] if "html" in pages.columns else []))
+    kept = judge_urls(rows, redirects, rules).where("verdict <> 'block'")
+    return kept.select(*[F.col("page_id")[c].alias(c) for c in pages.columns])
 
 
 # In the pages table no html names another url, so classes are those of the canonical form.

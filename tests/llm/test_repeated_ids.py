@@ -85,3 +85,33 @@ def test_lines_go_only_from_the_row_that_has_them(spark):
     named = spark.createDataFrame([(d and f"d{d}", t) for d, t in rows], "doc_id string, text string")
     report = line_report(named).collect()
     assert sorted((r.doc_id or "", r.n_removed) for r in report) == [("", 0), ("d1", 0), ("d2", 0), ("d2", 1), ("d2", 1), ("d4", 1), ("d4", 1)]
+
+
+def test_columns_of_any_name_go_through_every_filter(spark):
+    from pyspark.sql import functions as F
+
+    import corpus_pipeline
+    from hardwood.llm.kneser_ney import score, train
+    from hardwood.llm.quality_rules import keep_good
+    from hardwood.llm.secret_scan import redact
+    from hardwood.llm.url_filter import keep_allowed
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumn("a-b c", F.col("n_chars")).withColumn("x.y`z", F.lit("é")).where("doc_id < 60")
+    quoted = [c for c in docs.columns if c not in ("x.y`z",)]
+    docs = docs.select(*quoted)
+    for f in (keep_good, redact, keep_one, dedup_lines, cut_repeats):
+        assert f(docs).columns == docs.columns and f(docs).count() > 0
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, "/root/testdata/sf0.001").columns == docs.columns, name
+    assert score(docs, train(docs, 2), "a-b c").columns[0] == "a-b c"
+    pages = spark.createDataFrame([(None, "http://x.com/en/1", "", 1), (None, "http://y.de/ok", "", 1), (1, "http://a.com/en/2", None, 1), (2, None, "", 1)], "page_id long, url string, html string, `a-b c` int")
+    assert sorted(str(r.url) for r in keep_allowed(pages).collect()) == ["None", "http://y.de/ok"]
+
+
+def test_signs_that_are_no_letters(spark):
+    from hardwood.llm.quality_rules import judge_quality
+
+    clean = "यह एक साफ हिंदी वाक्य है जिसमें कई अलग अलग शब्द लिखे गए हैं ताकि जाँच पूरी हो सके"
+    odd = " ".join(chr(0x1F600 + k) + chr(0x1F640 + k) for k in range(14))
+    got = {r.doc_id: r.kept for r in judge_quality(spark.createDataFrame([(1, clean), (2, odd), (3, "這是 一個 乾淨的 句子 裡面有 很多 不同的 詞語 沒有 符號 而且 足夠 長度")], KIND), "doc_id").collect()}
+    assert got == {1: True, 2: False, 3: True}
