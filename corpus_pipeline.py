@@ -9,7 +9,7 @@ from hardwood.llm.language_id import keep_determined
 from hardwood.llm.line_dedup import dedup_lines
 from hardwood.llm.mixing import mix_sources
 from hardwood.llm.ngram_join import keep_one
-from hardwood.llm.storage import materialize
+from hardwood.llm.storage import discard, materialize
 
 #: SQL cannot train the network, nor decide near copies of lines; tests hold run() against brute force.
 ORACLE_SQL = None
@@ -44,8 +44,9 @@ STAGES = [("language", language), ("lines", lines), ("near_copies", near_copies)
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, one after the other."""
+    """All stages, one after the other; a stage's table is deleted once the next one is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        before, docs = docs, materialize(stage(spark, docs, sf_dir))
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
