@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import discard, materialize, shared_dir
+from .storage import discard, materialize, remove, shared_dir
 from .textarrays import U, Words, mix, pieces, shape
 
 END = mix(np.array([0xE0D], U))[0]
@@ -421,13 +421,15 @@ def score(documents: DataFrame, model: Model, *columns: str) -> DataFrame:
 
 
 def held_out_scores(documents: DataFrame, fold: int = 2, folds: int = 7, order: int = 3) -> DataFrame:
-    """Learn from texts whose crc32(doc_id) mod ``folds`` is not ``fold``; score all.
+    """Learn from texts whose crc32(doc_id) mod ``folds`` is not ``fold``; score all, then delete the model.
 
     ``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity)``.
     """
     rest = F.crc32(F.col("doc_id").cast("string")) % folds
     model = train(documents.where(rest != fold), order)
     rows = documents.select("doc_id", F.coalesce(rest == fold, F.lit(False)).alias("held_out"), "text")
-    return score(rows, model, "doc_id", "held_out").select(
+    scored = materialize(score(rows, model, "doc_id", "held_out"))
+    remove(rows.sparkSession, model.folder)
+    return scored.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.facts["tokens"]).cast("long").alias("train_tokens"), "base_score", "score",
         F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))

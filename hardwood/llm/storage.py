@@ -36,10 +36,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return back
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of ours."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables made by :func:`materialize` that nothing will read again; other frames are left alone."""
     for df in tables:
         path = getattr(df, "_hardwood_path", None)
         if path:
-            p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+            remove(df.sparkSession, path)

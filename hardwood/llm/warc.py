@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import discard, materialize, shared_dir
+from .storage import discard, materialize, remove, shared_dir
 
 MAGIC = b"\x1f\x8b\x08"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
@@ -261,8 +261,7 @@ def warc_round_trip(pages: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     manifest = archive_pages(pages, path)
     out = materialize(archived_pages(manifest.select("file", "bytes"), dict(pages.dtypes)["page_id"]))
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    remove(spark, path)
     discard(manifest)
     return out
 
