@@ -44,6 +44,10 @@ def allocate(rows: DataFrame, group: str, weight: str, budget: float, cap: float
     return d.drop("open")
 
 
+#: Modulus of the branches' mixing: 2**31 - 1.
+PRIME = 2147483647
+
+
 def branches(players: DataFrame, group: str, exact: int = 8, draws: int = 2048, seed: str = "branch") -> DataFrame:
     """Who plays: all 2^n combinations with their probabilities for groups of up to ``exact`` players, else ``draws`` sampled ones over all players.
 
@@ -59,9 +63,13 @@ def branches(players: DataFrame, group: str, exact: int = 8, draws: int = 2048,
     p = F.aggregate(who, F.lit(1.0), lambda s, x: s * F.when(x["in"] == 1, x["p"]).otherwise(1 - x["p"]))
     n = F.aggregate(who, F.lit(0).cast("long"), lambda s, x: s + x["in"].cast("long"))
     full = b.select(group, F.col("branch").cast("long").alias("branch"), p.alias("probability"), n.alias("n_playing"))
-    drawn = sized.where(F.col("_n") > exact).withColumn("branch", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col(group).cast("string"), F.col("branch").cast("string"), F.col("player_id").cast("string"))), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
-    drawn = drawn.groupBy(group, F.col("branch").cast("long").alias("branch")).agg(F.count(F.when(u < F.col("p_play"), 1)).alias("n_playing"))
+    # a player's own number from a hash, mixed with the branch by products modulo a prime, which stay within 64 bits
+    own = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col(group).cast("string"), F.col("player_id").cast("string"))), 1, 13), 16, 10).cast("long")
+    drawn = sized.where(F.col("_n") > exact).select(group, "p_play", F.pmod(own, F.lit(PRIME)).alias("_own")).withColumn("branch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))))
+    x = (F.col("_own") + F.col("branch") * 104729) % PRIME
+    for _ in range(2):
+        x = (x * x + x * 48271 + F.col("branch")) % PRIME
+    drawn = drawn.groupBy(group, "branch").agg(F.count(F.when(x / float(PRIME) < F.col("p_play"), 1)).alias("n_playing"))
     return full.unionByName(drawn.select(group, "branch", F.lit(1.0 / draws).alias("probability"), "n_playing"))
 
 

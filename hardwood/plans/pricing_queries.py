@@ -113,11 +113,13 @@ def executable_quotes(spark, sf):
     return quotes(spark, sf).select("snapshot_id", P.executable(side, ask, bid, no).alias("x")).select("snapshot_id", "x.order_side", "x.order_price", "x.contract_cost")
 
 
-@query("threshold_roi", sql("quotes", BETS + " SELECT t::DOUBLE AS threshold, COUNT(*) AS n, AVG(profit) AS roi FROM bets, (SELECT unnest([0.0, 0.02, 0.05, 0.1]) AS t) WHERE over_edge >= t AND profit IS NOT NULL GROUP BY t"))
+@query("threshold_roi", sql("quotes", BETS + " SELECT t::DOUBLE AS threshold, COUNT(*) AS n, COUNT(*) FILTER (WHERE result = 'win')::DOUBLE / NULLIF(COUNT(*) FILTER (WHERE result <> 'push'), 0) AS hit_rate, AVG(profit) AS roi FROM bets, (SELECT unnest([0.0, 0.02, 0.05, 0.1]) AS t) WHERE CASE WHEN side = 'OVER' THEN over_edge ELSE -over_edge END >= t AND profit IS NOT NULL GROUP BY t"))
 def threshold_roi(spark, sf):
+    """By the edge of the recommended side."""
     cuts = F.array(*[F.lit(t) for t in (0.0, 0.02, 0.05, 0.1)])
-    b = bets(spark, sf).where("profit is not null").select("profit", F.explode(F.filter(cuts, lambda t: F.col("over_edge") >= t)).alias("threshold"))
-    return b.groupBy("threshold").agg(F.count(F.lit(1)).alias("n"), F.avg("profit").alias("roi"))
+    edge = F.when(F.col("side") == "OVER", F.col("over_edge")).otherwise(-F.col("over_edge"))
+    b = bets(spark, sf).where("profit is not null").withColumn("edge", edge).select("profit", "result", F.explode(F.filter(cuts, lambda t: F.col("edge") >= t)).alias("threshold"))
+    return b.groupBy("threshold").agg(F.count(F.lit(1)).alias("n"), F.try_divide(F.count_if(F.col("result") == "win"), F.count_if(F.col("result") != "push")).alias("hit_rate"), F.avg("profit").alias("roi"))
 
 
 @query("surfacing_filter", sql("predictions", "SELECT player_id, game_id, market, p FROM predictions WHERE lower(market) NOT IN ('threes') AND NOT abs(p - 0.5) > 0.35"))

@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hardwood.functions import text as X
-from hardwood.operators import matching
+from hardwood.operators import frames, matching
 from hardwood.operators import metrics as M
 from hardwood.operators import quotes as Q
 from hardwood.operators import windows as W
@@ -120,17 +120,20 @@ def calibration_health(spark, sf):
     return e.agg(F.min("n").alias("samples_min"), F.max("n").alias("samples_max"), F.round(F.avg("ece"), 6).alias("ece_mean"), F.round(F.max("ece"), 6).alias("ece_max"))
 
 
-@query("fold_drift", sql("predictions", """f AS (SELECT market, date_trunc('quarter', game_date) AS fold, AVG(abs(line - actual)) AS mae, AVG((p - y) * (p - y)) AS brier FROM predictions GROUP BY ALL),
-k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY market ORDER BY fold) - 1 AS i, COUNT(*) OVER (PARTITION BY market) AS n FROM f)
-SELECT market, AVG(mae) FILTER (WHERE i < n // 2) AS early_mae, AVG(mae) FILTER (WHERE i >= n // 2) AS late_mae, AVG(brier) FILTER (WHERE i >= n // 2) - AVG(brier) FILTER (WHERE i < n // 2) AS brier_drift,
-  COUNT(*) FILTER (WHERE i < n // 2) AS folds_early, COUNT(*) FILTER (WHERE i >= n // 2) AS folds_late FROM k WHERE n >= 3 GROUP BY market"""))
+@query("fold_drift", sql("predictions", """q AS (SELECT *, date_trunc('quarter', game_date) AS fold FROM predictions), f AS (SELECT market, fold, AVG(abs(line - actual)) AS mae, AVG((p - y) * (p - y)) AS brier FROM q GROUP BY ALL),
+b AS (SELECT market, fold, CAST(least(floor(p * 10), 9) AS BIGINT) AS bin, AVG(p) AS mp, AVG(y) AS hy, COUNT(*) AS n FROM q GROUP BY ALL), c AS (SELECT market, fold, SUM(abs(hy - mp) * n) / SUM(n) AS ece FROM b GROUP BY ALL),
+k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY market ORDER BY fold) - 1 AS i, COUNT(*) OVER (PARTITION BY market) AS n FROM f JOIN c USING (market, fold)), e AS (SELECT *, i < n // 2 AS early FROM k WHERE n >= 3)
+SELECT market, """ + ", ".join(f"AVG({c}) FILTER (WHERE early) AS early_{c}, AVG({c}) FILTER (WHERE NOT early) AS late_{c}" for c in ("mae", "brier", "ece")) + """, AVG(mae) FILTER (WHERE NOT early) - AVG(mae) FILTER (WHERE early) AS mae_drift, AVG(brier) FILTER (WHERE NOT early) - AVG(brier) FILTER (WHERE early) AS brier_drift,
+  COUNT(*) FILTER (WHERE early) AS folds_early, COUNT(*) FILTER (WHERE NOT early) AS folds_late FROM e GROUP BY market"""))
 def fold_drift(spark, sf):
     d, e = F.col("p") - F.col("y"), F.col("line") - F.col("actual")
-    f = predictions(spark, sf).groupBy("market", F.date_trunc("quarter", "game_date").alias("fold")).agg(F.avg(F.abs(e)).alias("mae"), F.avg(d * d).alias("brier"))
+    rows = predictions(spark, sf).withColumn("fold", F.date_trunc("quarter", "game_date"))
+    f = rows.groupBy("market", "fold").agg(F.avg(F.abs(e)).alias("mae"), F.avg(d * d).alias("brier")).join(M.ece(rows, M.left_closed(F.col("p")), "market", "fold").select("market", "fold", "ece"), ["market", "fold"])
     w = Window.partitionBy("market")  # a market's quarters: few rows
     k = f.withColumns({"i": F.row_number().over(w.orderBy("fold")) - 1, "n": F.count(F.lit(1)).over(w)}).where("n >= 3").withColumn("early", F.col("i") < F.floor(F.col("n") / 2))
     early, late = lambda c: F.avg(F.when(F.col("early"), F.col(c))), lambda c: F.avg(F.when(~F.col("early"), F.col(c)))
-    return k.groupBy("market").agg(early("mae").alias("early_mae"), late("mae").alias("late_mae"), (late("brier") - early("brier")).alias("brier_drift"), F.count_if("early").alias("folds_early"), F.count_if(~F.col("early")).alias("folds_late"))
+    return k.groupBy("market").agg(*[x for c in ("mae", "brier", "ece") for x in (early(c).alias(f"early_{c}"), late(c).alias(f"late_{c}"))], (late("mae") - early("mae")).alias("mae_drift"), (late("brier") - early("brier")).alias("brier_drift"),
+                                   F.count_if("early").alias("folds_early"), F.count_if(~F.col("early")).alias("folds_late"))
 
 
 @query("line_distance", sql("quotes", "SELECT snapshot_id, abs(line_value - median(line_value) OVER (PARTITION BY game_id, player_id, market_key)) AS distance FROM quotes"))
@@ -145,12 +148,14 @@ def _f(x: str, rows: str) -> str:
     return f"AVG(CAST({x} AS DOUBLE)) OVER ({PW} ROWS BETWEEN {rows} PRECEDING AND 1 PRECEDING)"
 
 
-@query("blended_features", sql("game_logs", f"""r AS (SELECT player_id, game_id, starter, {_f('points', '5')} AS a5, {_f('points', '10')} AS a10, {_f('points', '20')} AS a20, {_f('points', 'UNBOUNDED')} AS s FROM game_logs)
-SELECT player_id, game_id, (1 - x) * (0.55::DOUBLE * COALESCE(a5, 0) + 0.45::DOUBLE * COALESCE(a10, 0)) + x * (0.65::DOUBLE * COALESCE(a20, 0) + 0.35::DOUBLE * COALESCE(s, 0)) AS points_blended FROM (SELECT *, CASE WHEN starter THEN 0.8::DOUBLE ELSE 0.5::DOUBLE END AS x FROM r)"""))
+@query("blended_features", sql("game_logs", f"""r AS (SELECT player_id, game_id, starter, {_f('points', '5')} AS a5, {_f('points', '20')} AS a20, {_f('points', 'UNBOUNDED')} AS s, list(CAST(points AS DOUBLE)) OVER ({PW} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS xs FROM game_logs),
+e AS (SELECT *, list_reduce(xs, lambda s, x: (1 - 2.0::DOUBLE / 11) * s + 2.0::DOUBLE / 11 * x) AS w FROM r)
+SELECT player_id, game_id, (1 - x) * (0.55::DOUBLE * COALESCE(a5, 0) + 0.45::DOUBLE * COALESCE(w, 0)) + x * (0.65::DOUBLE * COALESCE(a20, 0) + 0.35::DOUBLE * COALESCE(s, 0)) AS points_blended FROM (SELECT *, CASE WHEN starter THEN 0.8::DOUBLE ELSE 0.5::DOUBLE END AS x FROM e)"""))
 def blended_features(spark, sf):
     w, y = W.by("player_id"), F.col("points").cast("double")
     mean = lambda n: F.coalesce(F.avg(y).over(W.before(w, n)), F.lit(0.0))
-    return game_logs(spark, sf).select("player_id", "game_id", W.blended(mean(5), mean(10), mean(20), mean(None), F.when(F.col("starter"), 0.8).otherwise(0.5)).alias("points_blended"))
+    d = frames.ewm_sums(game_logs(spark, sf), ("points",), F.col("points").isNotNull())
+    return d.select("player_id", "game_id", W.blended(mean(5), F.coalesce("points_ewm", F.lit(0.0)), mean(20), mean(None), F.when(F.col("starter"), 0.8).otherwise(0.5)).alias("points_blended"))
 
 
 @query("market_group", sql("game_logs", """m AS (SELECT MAX(abs(minutes)) AS a, MAX(abs(points)) AS b, MAX(abs(threes)) AS c FROM game_logs)

@@ -52,7 +52,8 @@ def allocation_softcap(spark, sf):
 t AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY team_id ORDER BY player_id) - 1 AS i FROM p WHERE n <= 8), b AS (SELECT unnest(range(0, 256)) AS branch), j AS (SELECT team_id, branch, i, p_play, (branch >> i) & 1 AS bit FROM t, b WHERE branch < (1 << n)),
 d AS (SELECT unnest(range(0, 2048)) AS branch)
 SELECT team_id, branch, round(product(CASE WHEN bit = 1 THEN p_play ELSE 1 - p_play END), 9) AS probability, CAST(SUM(bit) AS BIGINT) AS n_playing FROM j GROUP BY team_id, branch
-UNION ALL SELECT team_id, branch, round(1.0::DOUBLE / 2048, 9), COUNT(*) FILTER (WHERE CAST('0x' || md5('branch|' || team_id || '|' || branch || '|' || player_id)[1:13] AS BIGINT) / 4503599627370496.0 < p_play) FROM p, d WHERE n > 8 GROUP BY team_id, branch""")
+UNION ALL SELECT team_id, branch, round(1.0::DOUBLE / 2048, 9), COUNT(*) FILTER (WHERE x2 / 2147483647.0::DOUBLE < p_play) FROM (SELECT *, (x1 * x1 + x1 * 48271 + branch) % 2147483647 AS x2 FROM (SELECT *, (x0 * x0 + x0 * 48271 + branch) % 2147483647 AS x1 FROM (
+  SELECT team_id, branch, p_play, (CAST('0x' || md5('branch|' || team_id || '|' || player_id)[1:13] AS BIGINT) % 2147483647 + branch * 104729) % 2147483647 AS x0 FROM p, d WHERE n > 8))) GROUP BY team_id, branch""")
 def branch_enumeration(spark, sf):
     p = table(spark, sf, "customer").select(F.col("c_nationkey").cast("long").alias("team_id"), F.col("c_custkey").alias("player_id"), ((F.col("c_custkey") % 9 + 1) / 10.0).alias("p_play"))
     return trading.branches(p, "team_id").withColumn("probability", F.round("probability", 9))

@@ -37,9 +37,9 @@ def read_graded(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return d.where("_bad is null and line_value is not null").drop("_bad"), d.where("_bad is not null or line_value is null").select("_bad")
 
 
-def read_props(spark: SparkSession, path: str) -> DataFrame:
-    """``(game_id, player, market, line, over_odds, under_odds)`` of nested files; odds that are no whole number are null."""
-    d = spark.read.schema(PROPS).option("multiLine", True).json(path)
+def read_props(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """``(game_id, player, market, line, over_odds, under_odds)`` of nested files, one object each or one a line; odds that are no whole number are null."""
+    d = spark.read.schema(PROPS).option("multiLine", not lines).json(path)
     rows = d.select(F.explode("props_by_game").alias("game_id", "props")).select(F.col("game_id").try_cast("long").alias("game_id"), F.inline("props"))
     return rows.withColumns({c: F.col(c).try_cast("int") for c in ("over_odds", "under_odds")})
 

@@ -53,7 +53,7 @@ def decisions(orders: DataFrame, limits: Limits) -> DataFrame:
             for m, t, stake in zip(b.market, b.ts, b.stake, strict=True):
                 if m != market:
                     market, exposure, until = m, 0.0, float("-inf")
-                ok, reason, exposure, until = decide(stake, t.timestamp(), exposure, until, limits)
+                ok, reason, exposure, until = decide(stake, t.value // 1000 / 1e6, exposure, until, limits)
                 out.append((ok, reason, exposure))
             yield b.assign(**dict(zip(("accepted", "reason", "exposure"), zip(*out, strict=True), strict=True))) if out else b.assign(accepted=[], reason=[], exposure=[])
 
@@ -67,17 +67,17 @@ def stream_decisions(orders: DataFrame, limits: Limits, delay: str = "1 hour") -
     def go(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         exposure, until, held = (state.get[0], state.get[1], json.loads(state.get[2])) if state.exists else (0.0, float("-inf"), [])
         for b in batches:
-            held += [[t.timestamp(), int(i), float(s)] for t, i, s in zip(b.ts, b.order_id, b.stake, strict=True)]
-        mark = state.getCurrentWatermarkMs() / 1000
+            held += [[t.value // 1000, int(i), float(s)] for t, i, s in zip(b.ts, b.order_id, b.stake, strict=True)]
+        mark = state.getCurrentWatermarkMs() * 1000  # microseconds, as the orders' times
         held.sort()
         out = []
         while held and held[0][0] <= mark:
             at, order, stake = held.pop(0)
-            ok, reason, exposure, until = decide(stake, at, exposure, until, limits)
-            out.append((key[0], order, pd.Timestamp(at, unit="s"), stake, ok, reason, exposure))
+            ok, reason, exposure, until = decide(stake, at / 1e6, exposure, until, limits)
+            out.append((key[0], order, pd.Timestamp(at, unit="us"), stake, ok, reason, exposure))
         state.update((exposure, until, json.dumps(held)))
         if held:
-            state.setTimeoutTimestamp(max(int(held[0][0] * 1000) + 1, state.getCurrentWatermarkMs() + 1))
+            state.setTimeoutTimestamp(max(held[0][0] // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         if out:
             yield pd.DataFrame(out, columns=["market", "order_id", "ts", "stake", "accepted", "reason", "exposure"])
 
