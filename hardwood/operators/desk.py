@@ -44,8 +44,8 @@ def slip(picks: DataFrame, keys: list[str], budget: float) -> DataFrame:
 
 
 def age_points(seconds: Column) -> Column:
-    """8 for a quote under an hour old, 4 under a day, else 0."""
-    return F.when(seconds < 3600, 8).when(seconds < 86400, 4).otherwise(0)
+    """8 for a quote under a day old, 4 for an older one, 0 without a time."""
+    return F.when(seconds < 86400, 8).when(seconds >= 86400, 4).otherwise(0)
 
 
 def prop_insights(quotes: DataFrame, keys: list[str]) -> DataFrame:

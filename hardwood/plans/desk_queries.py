@@ -66,7 +66,7 @@ def bet_slips(spark, sf):
 e AS (SELECT *, p * CASE WHEN odds > 0 THEN odds / 100.0::DOUBLE ELSE 100.0::DOUBLE / -odds END - (1 - p) AS profit, p - CASE WHEN odds > 0 THEN 100.0::DOUBLE / (odds + 100) ELSE -odds / (100.0::DOUBLE - odds) END AS edge FROM o),
 g AS (SELECT player_id, market, quantile_cont(line, 0.5) AS mid, MAX(line) - MIN(line) AS width, COUNT(*) AS n, MIN(age) AS newest FROM e GROUP BY ALL),
 b AS (SELECT e.*, width, n, newest FROM e JOIN g ON g.player_id = e.player_id AND g.market = e.market QUALIFY ROW_NUMBER() OVER (PARTITION BY e.player_id, e.market ORDER BY profit DESC, edge DESC, p DESC, abs(line - mid), quote_id) = 1),
-s AS (SELECT *, least(floor(p * 55), 55) + least(floor(greatest(edge, 0) * 300), 20) + least(n * 4, 12) + least(floor(greatest(conf, 0) * 12), 12) + CASE WHEN newest < 3600 THEN 8 WHEN newest < 86400 THEN 4 ELSE 0 END + CASE WHEN unc <= 0.35 THEN 10 WHEN unc <= 0.6 THEN 5 ELSE 0 END - COALESCE(sev, 0) - CASE WHEN alt THEN 2 ELSE 0 END AS raw FROM b),
+s AS (SELECT *, least(floor(p * 55), 55) + least(floor(greatest(edge, 0) * 300), 20) + least(n * 4, 12) + least(floor(greatest(conf, 0) * 12), 12) + CASE WHEN newest < 86400 THEN 8 WHEN newest >= 86400 THEN 4 ELSE 0 END + CASE WHEN unc <= 0.35 THEN 10 WHEN unc <= 0.6 THEN 5 ELSE 0 END - COALESCE(sev, 0) - CASE WHEN alt THEN 2 ELSE 0 END AS raw FROM b),
 c AS (SELECT *, CAST(greatest(1, least(CASE WHEN market = 'threes' THEN least(trunc(raw * COALESCE(mul, 1)), 71) ELSE trunc(raw * COALESCE(mul, 1)) END, 99)) AS INTEGER) AS confidence FROM s)
 SELECT player_id, market, quote_id, CAST(odds AS DOUBLE) AS odds, profit AS expected_profit, edge, CAST(CASE WHEN p >= 0.5 THEN round_even(-100 * p / (1 - p), 0) ELSE round_even(100 * (1 - p) / p, 0) END AS BIGINT) AS fair_odds, width AS market_width, confidence,
  CASE WHEN confidence >= 85 THEN 'Elite' WHEN confidence >= 72 THEN 'Strong' WHEN confidence >= 60 THEN 'Solid' WHEN confidence >= 48 THEN 'Watch' ELSE 'Fragile' END AS tier,
