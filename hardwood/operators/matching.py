@@ -37,15 +37,17 @@ def similar_pairs(left: DataFrame, right: DataFrame, least: float, q: int = 2) -
     An insertion or deletion spoils q of a string's q-grams at most, so a pair that is alike shares all but
     ``q * d`` of each side's grams, d the most differences that the lengths allow. With grams in one order by
     rarity, the ``q * d + 1`` rarest of both must then have one in common: only those are joined on. Pairs that
-    share fewer grams than they must are dropped before any comparison. Names too short for that share a key by
+    share fewer grams or letters than they must are dropped before any comparison. Names too short for that share a key by
     length instead. A gram's list can be long; the join has both sides' rows for it and Spark splits it by size.
     """
 
     def grams(d: DataFrame, side: str) -> DataFrame:
         n = F.length("name")
         d = d.select(F.col("id").alias(f"{side}_id"), F.col("name").alias(f"{side}_name"), n.alias("n"))
+        letters = F.split(f"{side}_name", "")
+        bag = F.transform(letters, lambda c, i: F.concat(c, F.size(F.filter(F.slice(letters, 1, i), lambda x: x == c)).cast("string")))
         cut = F.when(F.col("n") >= q, F.transform(F.sequence(F.lit(1), F.greatest(F.col("n") - q + 1, F.lit(1))), lambda i: F.substring(f"{side}_name", i, F.lit(q)))).otherwise(F.array().cast("array<string>"))
-        return d.withColumn("grams", cut)
+        return d.withColumns({"grams": cut, "bag": F.when(F.col("n") > 0, bag).otherwise(F.array().cast("array<string>"))})
 
     # each occurrence of a gram in a name is a token of its own, so sets of tokens count repeats
     def tokens(d: DataFrame, side: str) -> DataFrame:
@@ -73,10 +75,12 @@ def similar_pairs(left: DataFrame, right: DataFrame, least: float, q: int = 2) -
     short_left = sa.select("left_id", F.explode(reach).alias("n")).join(by_length(b, "right"), "n").select("left_id", "right_id")
     short_right = sb.select("right_id", F.explode(reach).alias("n")).join(by_length(a, "left"), "n").select("left_id", "right_id")
     pairs = pa.join(pb, "token").select("left_id", "right_id").unionByName(short_left).unionByName(short_right).distinct()
-    both = pairs.join(a.select("left_id", "left_name", F.col("n").alias("n1"), F.col("grams").alias("g1")), "left_id").join(b.select("right_id", "right_name", F.col("n").alias("n2"), F.col("grams").alias("g2")), "right_id")
+    both = pairs.join(a.select("left_id", "left_name", F.col("n").alias("n1"), F.col("grams").alias("g1"), F.col("bag").alias("b1")), "left_id").join(b.select("right_id", "right_name", F.col("n").alias("n2"), F.col("grams").alias("g2"), F.col("bag").alias("b2")), "right_id")
     allowed = F.floor((1 - least) * (F.col("n1") + F.col("n2")) + 1e-9)
     enough = F.size(F.array_intersect("g1", "g2")) >= F.size(F.array_distinct("g1")) - q * allowed
-    both = both.where((F.abs(F.col("n1") - F.col("n2")) <= allowed) & enough)
+    # a common subsequence has no more of a letter than either side
+    letters = 2 * F.size(F.array_intersect("b1", "b2")) >= F.col("n1") + F.col("n2") - allowed
+    both = both.where((F.abs(F.col("n1") - F.col("n2")) <= allowed) & enough & letters)
     both = both.select("left_id", "right_id", F.col("left_name").alias("x"), F.col("right_name").alias("y")).withColumn("c", common_length("x", "y"))
     return both.select("left_id", "right_id", similarity(F.col("c"), F.col("x"), F.col("y")).alias("score")).where(F.col("score") >= least - 1e-12)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hardwood.functions.odds import clip
+from hardwood.sources.tables import stored
 
 # How strongly a prior counts, and how much wider a variance is, by tier of data.
 STRENGTH = {"A": 10.0, "B": 15.0, "C": 25.0, "D": 50.0}
@@ -20,6 +21,11 @@ def _recursion(mean: Column, variance: Column) -> tuple[Column, Column, Column]:
     return p0, F.when(poisson, 0.0).otherwise(1 - q), F.when(poisson, mean).otherwise((r - 1) * (1 - q))
 
 
+def reach(mean: Column, variance: Column, q: float) -> Column:
+    """A count that is at least the quantile q: no more than 1 - q lies ``sqrt(q / (1 - q))`` deviations above a mean (Cantelli)."""
+    return F.ceil(mean + (q / (1 - q)) ** 0.5 * F.sqrt(variance) + 2).cast("int")
+
+
 def count_cdf(mean: Column, variance: Column, most: Column) -> Column:
     """``array<double>``: P(X <= k) for k from 0 to ``most``."""
     p0, a, b = _recursion(mean, variance)
@@ -54,7 +60,7 @@ def dnp_mixture(rows: DataFrame, quantiles: tuple[float, ...] = (0.25, 0.5, 0.75
     """
     # other names than the result's: inside a lambda a column may be taken for an alias of the same select
     d, m, v, line = (F.col(c) for c in ("_d", "_m", "_v", "line"))
-    most = F.ceil(m + 12 * F.sqrt(v) + 20).cast("int")
+    most = reach(m, v, max(quantiles))
     r = rows.select("quote_id", "line", F.col("mean").alias("_m"), F.col("variance").alias("_v"), clip(F.coalesce("dnp", F.lit(0.0)), 0.0, 1.0).alias("_d"))
     r = r.withColumn("_cdf", count_cdf(m, v, most))
     at = lambda q: F.size(F.filter("_cdf", lambda c: c < (q - d) / (1 - d) - 1e-12))
@@ -90,9 +96,9 @@ def branch_mixture(rows: DataFrame, keys: list[str], quantiles: tuple[float, ...
     which Spark adds up value by value; nothing is drawn. Weights that sum to nothing count alike.
     """
     w = F.greatest("weight", F.lit(0.0))
-    top = F.col("mean") + 12 * F.sqrt("variance") + 20
-    per = rows.select(*keys, w.alias("w"), "mean", "variance", "line", (1 - at_most(F.col("mean"), F.col("variance"), F.floor("line"))).alias("over"), top.alias("top"))
-    total = per.groupBy(*keys).agg(F.sum("w").alias("all"), F.count(F.lit(1)).alias("branches"), F.ceil(F.max("top")).cast("int").alias("most"))
+    top = reach(F.col("mean"), F.col("variance"), max(quantiles))
+    per = stored(rows.select(*keys, w.alias("w"), "mean", "variance", "line", (1 - at_most(F.col("mean"), F.col("variance"), F.floor("line"))).alias("over"), top.alias("top")))  # read four times below
+    total = per.groupBy(*keys).agg(F.sum("w").alias("all"), F.count(F.lit(1)).alias("branches"), F.max("top").alias("most"))
     per = per.join(total, keys).withColumn("w", F.when(F.col("all") > 0, F.col("w") / F.col("all")).otherwise(1 / F.col("branches")))
     moments = per.groupBy(*keys).agg(F.max("branches").alias("branches"), F.sum(F.col("w") * F.col("mean")).alias("mean"), F.sum(F.col("w") * (F.col("variance") + F.col("mean") * F.col("mean"))).alias("second"),
                                      F.sum(F.col("w") * F.col("over")).alias("over_probability"))
