@@ -50,7 +50,7 @@ def test_availability_looks_neither_ahead_nor_at_oneself(spark):
     from hardwood.operators import availability as A
 
     t = lambda x: F.to_timestamp_ntz(F.lit(x))
-    games = spark.createDataFrame([(1, 10, 5, "1", 20)], "player_id long, game_id long, team_id long, position string, points long").withColumn("start_time", t("2024-01-10 20:00:00"))
+    games = spark.createDataFrame([(1, 10, 5, "1", 20, 30.0, 9, 2)], "player_id long, game_id long, team_id long, position string, points long, minutes double, field_goal_attempts long, free_throw_attempts long").withColumn("start_time", t("2024-01-10 20:00:00"))
     rows = [(1, 2, "out", "2024-01-10 18:00:00"), (2, 3, "out", "2024-01-10 19:00:00"), (3, 1, "out", "2024-01-10 12:00:00"), (4, 4, "Doubtful", "2023-12-01 00:00:00"), (5, 1, "doubtful", "2024-01-11 00:00:00")]
     reports = spark.createDataFrame([(*r[:3], r[3]) for r in rows], "report_id long, player_id long, status string, at string").select(
         "report_id", F.lit(10).cast("long").alias("game_id"), F.lit(5).cast("long").alias("team_id"), "player_id", "status", F.lit("1").alias("position"), F.to_timestamp_ntz("at").alias("report_ts"),
