@@ -1,6 +1,10 @@
+import zlib
+
 import numpy as np
 
-from hardwood.llm.language_id import LENGTH, Network, held_out_languages, keep_determined
+from pyspark.sql import functions as F
+
+from hardwood.llm.language_id import LENGTH, WIDTHS, Network, held_out_languages, keep_determined, train
 
 
 def test_held_out_accuracy(spark):
@@ -20,6 +24,37 @@ def test_tables_are_the_convolution():
     assert np.allclose(net.log_probabilities(x, net.tables()), want, atol=1e-4)
 
 
+def test_whole_predictions_against_plain_convolution(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(120).cache()
+    net = train(df.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
+    got = {r.doc_id: r for r in held_out_languages(df).collect()}
+    for row in df.collect():
+        data = np.frombuffer((row.text or "").encode(), np.uint8)
+        held_out = zlib.crc32(str(row.doc_id).encode()) % 4 == 2
+        r = got[row.doc_id]
+        assert r.held_out == held_out
+        if not any(c.isalpha() for c in row.text or ""):
+            assert r.lang_pred == "und"
+            continue
+        total, begin = np.zeros(len(net.labels)), 0
+        while begin == 0 or begin + max(WIDTHS) - 1 < len(data):
+            x = np.zeros(LENGTH, np.int64)
+            part = data[begin : begin + LENGTH]
+            x[: len(part)] = part
+            e = net.embed[x]
+            pooled = [np.stack([np.tensordot(e[i : i + w], net.conv[w], ((0, 1), (0, 1))) for i in range(LENGTH - w + 1)]).max(0) + net.bias[w] for w in WIDTHS]
+            z = (np.maximum(np.concatenate(pooled), 0) @ net.dense + net.out).astype(np.float64)
+            total += max(len(part), 1) * (z - z.max() - np.log(np.exp(z - z.max()).sum()))
+            begin += LENGTH - max(WIDTHS) + 1
+        weight, begin = 0, 0
+        while begin == 0 or begin + max(WIDTHS) - 1 < len(data):
+            weight += max(len(data[begin : begin + LENGTH]), 1)
+            begin += LENGTH - max(WIDTHS) + 1
+        p = np.exp(total / weight - (total / weight).max())
+        p /= p.sum()
+        assert r.lang_pred == net.labels[int(p.argmax())] and abs(r.score - p.max()) < 1e-3
+
+
 def test_gradient_by_differences():
     net = Network(["a", "b"])
     rnd = np.random.default_rng(1)
