@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hardwood.functions.odds import clip
+from hardwood.functions.rates import near_poisson
 from hardwood.sources.tables import stored
 
 # How strongly a prior counts, and how much wider a variance is, by tier of data.
@@ -15,7 +16,7 @@ WIDER = {"A": 1.0, "B": 1.3, "C": 2.0, "D": 3.0}
 
 def _recursion(mean: Column, variance: Column) -> tuple[Column, Column, Column]:
     """``p0, a, b`` of the recursion ``p(k) = p(k - 1) (a + b / k)``: Poisson up to 1.05 times the mean, else negative binomial."""
-    poisson = variance <= 1.05 * mean
+    poisson = near_poisson(mean, variance)
     q, r = mean / variance, mean * mean / (variance - mean)
     p0 = F.when(poisson, F.exp(-mean)).otherwise(F.pow(q, r))
     return p0, F.when(poisson, 0.0).otherwise(1 - q), F.when(poisson, mean).otherwise((r - 1) * (1 - q))
@@ -63,7 +64,7 @@ def dnp_mixture(rows: DataFrame, quantiles: tuple[float, ...] = (0.25, 0.5, 0.75
     most = reach(m, v, max(quantiles))
     r = rows.select("quote_id", "line", F.col("mean").alias("_m"), F.col("variance").alias("_v"), clip(F.coalesce("dnp", F.lit(0.0)), 0.0, 1.0).alias("_d"))
     r = r.withColumn("_cdf", count_cdf(m, v, most))
-    at = lambda q: F.size(F.filter("_cdf", lambda c: c < (q - d) / (1 - d) - 1e-12))
+    at = lambda q: F.size(F.filter("_cdf", lambda c: d + (1 - d) * c < q - 1e-12))
     mixed = (1 - d) * m
     return r.select("quote_id", mixed.alias("mean"), ((1 - d) * (v + m * m) - mixed * mixed).alias("variance"), ((1 - d) * (1 - at_most(m, v, F.floor(line)))).alias("over_probability"),
                     ((1 - d) * (1 - at_most(m, v, F.ceil(1.1 * line) - 1))).alias("boom_probability"), (d + (1 - d) * at_most(m, v, F.floor(0.7 * line))).alias("bust_probability"),

@@ -161,3 +161,14 @@ def test_mixture_quantiles_against_draws(spark):
     assert r.mean == pytest.approx(x.mean(), rel=0.01) and r.variance == pytest.approx(x.var(), rel=0.02) and r.over_probability == pytest.approx((x > 6).mean(), abs=0.005)
     assert [r.p10, r.p25, r.p50, r.p75, r.p90] == [int(np.quantile(x, q, method="inverted_cdf")) for q in (0.1, 0.25, 0.5, 0.75, 0.9)]
     assert got[2].mean == 5.0
+
+
+def test_a_variance_of_exactly_the_threshold_is_poisson(spark):
+    from hardwood.operators import trading
+
+    # 120 / 9 and 14, as sums in another order give it: a hair more than 1.05 means
+    rows = spark.createDataFrame([(1, 13.333333333333334, 14.000000000000004, 13.5, 0.0), (2, 13.333333333333334, 14.0, 13.5, 0.0)], "quote_id long, mean double, variance double, line double, dnp double")
+    assert {r.family for r in rows.select(*trading.count_distribution()).collect()} == {"poisson"}
+    for got in (mixtures.prop_tails(rows), mixtures.dnp_mixture(rows), mixtures.branch_mixture(rows.selectExpr("quote_id", "1D as weight", "mean", "variance", "line"), ["quote_id"])):
+        a, b = sorted(got.collect())
+        assert abs(a.over_probability - b.over_probability) < 1e-12
