@@ -142,8 +142,10 @@ def _profile(documents: DataFrame, n: int, plan: Plan) -> DataFrame:
                 lists.append(q)
                 d1.append(mix(s).sum(dtype=U))
                 d2.append(mix(s ^ U(0x5851F42D4C957F2D)).sum(dtype=U))
-                size = 64 * LANES << _class(len(s))
-                bits.append(np.packbits(np.bincount((s >> U(65 - size.bit_length())).astype(np.int64), minlength=size).astype(np.uint8) & 1).view(np.int64))
+                # the word by the leading bits, the place in it by the last: two neighbouring words are one of the class below
+                size = LANES << _class(len(s))
+                at = (s >> U(65 - size.bit_length())) * U(64) + (s & U(63))
+                bits.append(np.packbits(np.bincount(at.astype(np.int64), minlength=64 * size).astype(np.uint8) & 1).view(np.int64))
             ends = lambda x: np.concatenate([[0], np.cumsum([len(y) for y in x])])
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()),

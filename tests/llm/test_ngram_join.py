@@ -73,3 +73,10 @@ def test_boundary_follows_cost():
     p = Plan(90, 100)
     assert 8 < p.boundary < 19 and p.subset_bytes(p.boundary) <= p.list_bytes(p.boundary)
     assert p.differ(19, 19) == 2 and p.differ(9, 10) == 1
+
+
+def test_links_across_the_sizes_at_which_bitmaps_grow(spark):
+    words = [f"w{i}" for i in range(1060)]
+    rows = [(1, " ".join(words[:500])), (2, " ".join(words[:530])), (3, " ".join(words[20:1030])), (4, " ".join(words[20:1060]))]
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows) == {(1, 498, 1), (2, 528, 1), (3, 1008, 3), (4, 1038, 3)}
