@@ -97,14 +97,18 @@ def resolve_names(wanted: DataFrame, known: DataFrame, least: float) -> DataFram
 def nearest_within(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, right_id: str, seconds: int) -> DataFrame:
     """``left`` with the id of the row of ``right`` of equal keys that lies nearest in time, ``seconds`` away at most, and how far; equally near: the smallest id.
 
-    Time is cut into buckets of ``seconds``. A left row meets its own bucket and its two neighbours by equality, so
-    no pair further apart than two buckets is formed. Left rows are rows of a table with unique values in all columns taken together.
+    Of right rows at one time only the smallest id can be the answer, so each time counts once. Time is cut into buckets of
+    ``seconds``. A left row meets its own bucket and its two neighbours by equality, so no pair further apart than two
+    buckets is formed, and of the earlier bucket only its last time, of the later one its first. Left rows are rows of a table with unique values in all columns taken together.
     """
     bucket = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / (seconds * 1_000_000))
-    l_ = left.withColumn("_b", F.explode(F.array(*[bucket(left_at) + k for k in (-1, 0, 1)])))
-    r = right.select(*keys, F.col(right_id).alias("_id"), F.col(right_at).alias("_at"), bucket(right_at).alias("_b"))
+    l_ = left.select("*", F.explode(F.array(*[F.struct((bucket(left_at) + k).alias("_b"), F.lit(k).alias("_side")) for k in (-1, 0, 1)])).alias("_x")).select(*left.columns, "_x._b", "_x._side")
+    r = right.groupBy(*keys, F.col(right_at).alias("_at")).agg(F.min(right_id).alias("_id")).withColumn("_b", bucket("_at"))
+    ends = r.groupBy(*keys, "_b").agg(F.min("_at").alias("_first"), F.max("_at").alias("_last"))
+    end = r.join(ends, [*keys, "_b"])
+    r = end.select(*keys, "_b", "_id", "_at", F.explode(F.array_compact(F.array(F.lit(0), F.when(F.col("_at") == F.col("_last"), -1), F.when(F.col("_at") == F.col("_first"), 1)))).alias("_side"))
     away = F.abs(F.unix_micros(F.col(left_at).cast("timestamp")) - F.unix_micros(F.col("_at").cast("timestamp")))
-    j = l_.join(r, [*keys, "_b"]).withColumn("_away", away).where(F.col("_away") <= seconds * 1_000_000)
+    j = l_.join(r, [*keys, "_b", "_side"]).withColumn("_away", away).where(F.col("_away") <= seconds * 1_000_000)
     best = j.groupBy(*left.columns).agg(F.min(F.struct("_away", "_id")).alias("_m"))
     return best.select(*left.columns, F.col("_m._id").alias(right_id), (F.col("_m._away") / 1e6).alias("seconds_away"))
 

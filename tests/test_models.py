@@ -172,3 +172,13 @@ def test_a_variance_of_exactly_the_threshold_is_poisson(spark):
     for got in (mixtures.prop_tails(rows), mixtures.dnp_mixture(rows), mixtures.branch_mixture(rows.selectExpr("quote_id", "1D as weight", "mean", "variance", "line"), ["quote_id"])):
         a, b = sorted(got.collect())
         assert abs(a.over_probability - b.over_probability) < 1e-12
+
+
+def test_nearest_within_forms_few_pairs_where_many_games_share_a_time(spark):
+    day = datetime(2024, 1, 1)
+    left = spark.createDataFrame([(i, 1, day + timedelta(hours=i % 3)) for i in range(300)], "l long, k int, a timestamp")
+    right = spark.createDataFrame([(1000 - i, 1, day + timedelta(seconds=600 * (i % 2))) for i in range(300)], "r long, k int, b timestamp")
+    best = matching.nearest_within(left, right, ["k"], "a", "b", "r", 7200)
+    assert {r.l: r.r for r in best.collect()} == {i: (702, 701, 701)[i % 3] for i in range(300)}
+    plan = best._jdf.queryExecution().optimizedPlan().toString()
+    assert "min(r#" in plan  # a time's games are one row before the join
