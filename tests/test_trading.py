@@ -70,3 +70,12 @@ def test_names_fold_all_accents(spark):
     names = {"Nikola Jokić": "nikola jokic", "Dāvis Bertāns": "davis bertans", "Luka Dončić Jr.": "luka doncic", "Ömer Aşık": "omer ask", "Ģirts Ķēniņš": "girts kenins", "O'Neal-Ray III": "o neal ray"}
     got = {r.n: r.x for r in spark.createDataFrame([(n,) for n in names], "n string").select("n", normalize_name(F.col("n")).alias("x")).collect()}
     assert got == names
+
+
+def test_every_branch_of_a_large_group_draws_each_player_by_a_hash_of_its_own(spark):
+    import hashlib
+
+    rows = [(1, k, (k % 9 + 1) / 10) for k in range(1, 13)]
+    got = {r.branch: r.n_playing for r in trading.branches(spark.createDataFrame(rows, "team long, player_id long, p_play double"), "team", draws=64).collect()}
+    drawn = lambda b, k: int(hashlib.md5(f"branch|1|{b}|{k}".encode()).hexdigest()[:13], 16) / 2**52
+    assert got == {b: sum(drawn(b, k) < p for _, k, p in rows) for b in range(64)}
