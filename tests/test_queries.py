@@ -47,3 +47,16 @@ def test_others_give_rows(spark, name):
 
 def test_entry(spark):
     assert __spark_entry__.entry(spark).columns
+
+
+def test_targets_meet_markets_by_their_title(spark):
+    from hardwood.operators import monitor
+
+    t = [(k, [title], [], ["click"], [10.0], "ev1") for k, title in enumerate(["Player5", "Player61", "zz", "Player7", "Nobody"])] + [(9, ["Player5"], [], ["click"], [99.0], "ev1")]
+    targets = spark.createDataFrame(t, "target_id long, title_terms array<string>, player_terms array<string>, stat_terms array<string>, lines array<double>, hint string")
+    markets = spark.createDataFrame([(1, "player51 click over", [10.0], "ev1"), (2, "player5 click over", [10.0], "ev2"), (3, "player61 view over", [10.0], "ev1"), (4, "buzz click", [10.0], "ev1"), (5, "zz", [10.0], "ev1"), (6, "player7 click over", [12.0], "ev1")],
+                                   "market_id long, text string, lines array<double>, event string")
+    best = monitor.score_targets(targets, markets, 100)
+    assert {r.target_id: (r.market_id, r.score, r.reasons) for r in best.collect()} == {
+        0: (1, 125, "title,stat,line,event"), 1: (None, 0, "stat"), 2: (4, 125, "title,stat,line,event"), 3: (None, 0, "title"), 4: (None, 0, "title"), 9: (None, 0, "no market")}
+    assert "_g#" in best._jdf.queryExecution().optimizedPlan().toString()  # not all targets with all markets of a line
