@@ -99,7 +99,9 @@ def bootstrap(rows: DataFrame, cluster: str, keys: list[str], sums: dict[str, Co
     drawing as many clusters with replacement tends to, and needs no list of the clusters.
     """
     per = rows.groupBy(*keys, cluster).agg(*[F.sum(v).alias(k) for k, v in sums.items()])
-    d = per.select(*keys, *sums, F.posexplode(poisson_weights(F.col(cluster), replicates)).alias("replicate", "weight")).where("weight > 0")
+    # a cluster's weights are drawn once for all its keys
+    per = per.groupBy(cluster).agg(F.collect_list(F.struct(*keys, *sums)).alias("_held"))
+    d = per.select("_held", F.posexplode(poisson_weights(F.col(cluster), replicates)).alias("replicate", "weight")).where("weight > 0").select("replicate", "weight", F.inline("_held"))
     each = d.groupBy(*keys, "replicate").agg(*[F.sum(F.col(k) * F.col("weight")).alias(k) for k in sums]).select(*keys, statistic.alias("value"))
     name = lambda q: f"q_{round(q * 1000)}"
     return each.groupBy(*keys).agg(F.count("value").cast("long").alias("replicates"), *[F.percentile("value", F.lit(q)).alias(name(q)) for q in quantiles])

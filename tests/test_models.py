@@ -182,3 +182,10 @@ def test_nearest_within_forms_few_pairs_where_many_games_share_a_time(spark):
     assert {r.l: r.r for r in best.collect()} == {i: (702, 701, 701)[i % 3] for i in range(300)}
     plan = best._jdf.queryExecution().optimizedPlan().toString()
     assert "min(r#" in plan  # a time's games are one row before the join
+
+
+def test_bootstrap_draws_a_cluster_s_weights_once(spark):
+    rows = spark.createDataFrame([(k, c, 1.0) for k in range(3) for c in range(4)], "k long, c long, v double")
+    got = validation.bootstrap(rows, "c", ["k"], {"n": F.lit(1), "v": F.col("v")}, F.col("v") / F.col("n"), replicates=9)
+    assert {r.k for r in got.collect()} == {0, 1, 2} and all(r.q_500 == 1.0 for r in got.collect())
+    assert "collect_list" in got._jdf.queryExecution().optimizedPlan().toString()  # all of a cluster's keys in one row
