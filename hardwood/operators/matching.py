@@ -7,6 +7,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hardwood.sources.tables import stored
+
+
 @F.pandas_udf(T.IntegerType())
 def common_length(a: pd.Series, b: pd.Series) -> pd.Series:
     """Length of the longest common subsequence, with a string as one integer of bits and a few operations a character."""
@@ -85,13 +88,35 @@ def similar_pairs(left: DataFrame, right: DataFrame, least: float, q: int = 2) -
     return both.select("left_id", "right_id", similarity(F.col("c"), F.col("x"), F.col("y")).alias("score")).where(F.col("score") >= least - 1e-12)
 
 
+def one_apart(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``(left_id, right_id, score)`` of all pairs of ``(id, name)`` that one inserted or deleted character makes equal; exact.
+
+    The longer name without that character is the shorter one, so names meet by equality: each side whole with the other side's
+    names less one character. Rows are as many as characters, however alike the names are.
+    """
+    n = F.length("name")
+    less = F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substring("name", F.lit(1), i - 1), F.substring("name", i + 1, n))))
+    cut = lambda d, side: d.where(n > 0).select(F.col("id").alias(f"{side}_id"), F.explode(less).alias("name"))
+    whole = lambda d, side: d.select(F.col("id").alias(f"{side}_id"), "name")
+    score = 2.0 * n / (2 * n + 1)  # of the shorter name
+    return cut(left, "left").join(whole(right, "right"), "name").unionByName(whole(left, "left").join(cut(right, "right"), "name").select("name", "left_id", "right_id")).select("left_id", "right_id", score.alias("score"))
+
+
 def resolve_names(wanted: DataFrame, known: DataFrame, least: float) -> DataFrame:
-    """``(entity_id, player_id, confidence)``: an equal name first (smallest id), else the most similar of all known names, of ``least`` or more."""
+    """``(entity_id, player_id, confidence)``: an equal name first (smallest id), else the most similar of all known names, of ``least`` or more.
+
+    Names one character away come next, by equality. Only names for which one that is further away could be as good are
+    compared with all known ones: two characters away, the best possible partner is two longer.
+    """
     exact = wanted.join(known, "name").groupBy("entity_id").agg(F.min("player_id").alias("player_id")).withColumn("confidence", F.lit(1.0))
-    rest = wanted.join(exact.select("entity_id"), "entity_id", "left_anti")
-    near = similar_pairs(rest.select(F.col("entity_id").alias("id"), "name"), known.select(F.col("player_id").alias("id"), "name"), least)
-    best = near.groupBy("left_id").agg(F.max(F.struct("score", (-F.col("right_id")).alias("p"))).alias("m"))
-    return exact.unionByName(best.select(F.col("left_id").alias("entity_id"), (-F.col("m.p")).alias("player_id"), F.col("m.score").alias("confidence")))
+    rest = stored(wanted.join(exact.select("entity_id"), "entity_id", "left_anti").select(F.col("entity_id").alias("id"), "name"))
+    known = known.select(F.col("player_id").alias("id"), "name")
+    top = lambda pairs: pairs.groupBy("left_id").agg(F.max(F.struct("score", (-F.col("right_id")).alias("p"))).alias("m"))
+    near = stored(top(one_apart(rest, known).where(F.col("score") >= least - 1e-12)))
+    open_ = stored(rest.join(near.select(F.col("left_id").alias("id"), "m.score"), "id", "left").where(F.col("score").isNull() | (F.col("score") <= 1 - 1 / (F.length("name") + 1.0) + 1e-12)).select("id", "name"))
+    if not open_.isEmpty():
+        near = near.join(open_.select(F.col("id").alias("left_id")), "left_id", "left_anti").unionByName(top(similar_pairs(open_, known, least)))
+    return exact.unionByName(near.select(F.col("left_id").alias("entity_id"), (-F.col("m.p")).alias("player_id"), F.col("m.score").alias("confidence")))
 
 
 def nearest_within(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, right_id: str, seconds: int) -> DataFrame:
