@@ -144,18 +144,22 @@ def retrieve(queries: DataFrame, examples: DataFrame, k: int) -> DataFrame:
     Queries ``(query_id, market, bucket)`` and examples ``(example_id, player_id, market, line, day, real)``. A score has 3
     for the query's half-point line bucket, 1 for a bucket within a point, 2 for a real example; equal (player, market,
     day, line) count once, the smallest id. Examples lie in lists by (market, bucket, real), each cut to its k oldest
-    by day and id, as no other can be among the k best of any query; a query reads the lists that can score.
+    by day and id, as no other can be among the k best of any query. What is best depends on a query's market and bucket
+    only, so it is found once for each that occurs, from the lists that can score, and handed to its queries; those
+    answers are as few as markets and buckets, and are broadcast.
     """
     one = examples.groupBy("player_id", "market", "day", "line").agg(F.min(F.struct((~F.col("real")).alias("made"), "example_id")).alias("e")).select("market", "line", "day", "e.example_id", (~F.col("e.made")).alias("real"))
     one = one.withColumn("bucket", F.floor(F.col("line") * 2) / 2)
     w = Window.partitionBy("market", "bucket", "real").orderBy("day", "example_id")
     lists = one.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= k).drop("_k", "line")
+    asked = queries.select("market", F.col("bucket").alias("want")).distinct()
     # by distance of buckets: 0, up to 1, further; the last kind scores for real examples only
-    near = queries.select("query_id", "market", F.col("bucket").alias("want"), F.explode(F.transform(F.sequence(F.lit(-2), F.lit(2)), lambda i: F.col("bucket") + i / 2)).alias("bucket"))
-    close = near.join(lists, ["market", "bucket"]).select("query_id", "example_id", "day", (F.when(F.col("bucket") == F.col("want"), 3).otherwise(1) + F.col("real").cast("int") * 2).alias("score"))
+    near = asked.select("market", "want", F.explode(F.transform(F.sequence(F.lit(-2), F.lit(2)), lambda i: F.col("want") + i / 2)).alias("bucket"))
+    close = near.join(lists, ["market", "bucket"]).select("market", "want", "example_id", "day", (F.when(F.col("bucket") == F.col("want"), 3).otherwise(1) + F.col("real").cast("int") * 2).alias("score"))
     w = Window.partitionBy("market").orderBy("day", "example_id")
     # five buckets are near, of k examples each, so the 6 k oldest hold the k oldest of those further away
     far = lists.where("real").withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= 6 * k).drop("_k")
-    far = queries.select("query_id", "market", F.col("bucket").alias("want")).join(far, "market").where("abs(bucket - want) > 1").select("query_id", "example_id", "day", F.lit(2).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "day", "example_id"))
-    return close.unionByName(far).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "example_id", "score", "rank")
+    far = asked.join(far, "market").where("abs(bucket - want) > 1").select("market", "want", "example_id", "day", F.lit(2).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("market", "want").orderBy(F.desc("score"), "day", "example_id"))
+    best = close.unionByName(far).withColumn("rank", rank).where(F.col("rank") <= k).select("market", F.col("want").alias("bucket"), "example_id", "score", "rank")
+    return queries.join(F.broadcast(best), ["market", "bucket"]).select("query_id", "example_id", "score", "rank")
