@@ -10,12 +10,12 @@ mapped, not copied, so they take no worker memory):
   its predecessors;
 * ``gN-k.high``, ``.low``, ``.counts``: the sorted hashes of the N-grams of the k-th share (48 bits, as 32 and
   16; within a share of some million that is about one false match in 10^8 look-ups) with their counts, those
-  of the highest order as they occur, of lower ones by how many different words go before, in the narrowest
-  type;
+  of the highest order as they occur, of lower ones by how many different words go before, in a byte each;
 * ``xN-k.high``, ``.low``, ``.sums``: the same for the contexts of N-grams of three words and more: the sum of
-  counts and how many followers have counts 1, 2 and more.
+  counts and how many followers have counts 1, 2 and more, in two bytes (``_coded``);
+* ``.over``, ``.rows`` of counts and sums: the places of those that do not fit, and they themselves.
 
-Everything gathered grows with the corpus; a share holds about ``SHARE`` n-grams, so tasks stay small.
+Each level is written before the next is dealt, and its shuffle files deleted. Everything gathered grows with the corpus; a share holds about ``SHARE`` n-grams, so tasks stay small.
 Pairs are dealt by their own hash and the sums per first word folded afterwards, longer n-grams by their
 context's, so no share holds all that follows a frequent word. Tasks write with an atomic rename or at a
 fixed offset, so a repeated task changes nothing.
@@ -128,12 +128,13 @@ class Model:
         path = f"{self.folder}/{name}"
         return np.memmap(path, kind, "r") if os.path.exists(path) and os.path.getsize(path) else np.empty(0, kind)
 
-    def _table(self, name: str, values: str, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Both parts of the keys and the values of a share; the values' type follows from the sizes of the files."""
+    def _table(self, name: str, values: str, width: int) -> tuple[np.ndarray, ...]:
+        """Both parts of the keys of a share, the coded values, and the places and rows of those that have no code; the rows' type follows from the sizes of the files."""
         if name not in self.maps:
-            high = self._map(f"{name}.high", np.uint32)
-            size = os.path.getsize(f"{self.folder}/{name}.{values}") // (len(high) * width) if len(high) else 1
-            self.maps[name] = high, self._map(f"{name}.low", np.uint16), self._map(f"{name}.{values}", f"u{size}").reshape(-1, width)
+            over = self._map(f"{name}.{values}.over", np.uint32)
+            size = os.path.getsize(f"{self.folder}/{name}.{values}.rows") // (len(over) * width) if len(over) else 1
+            rows = self._map(f"{name}.{values}.rows", f"u{size}").reshape(-1, width)
+            self.maps[name] = self._map(f"{name}.high", np.uint32), self._map(f"{name}.low", np.uint16), self._map(f"{name}.{values}", _CODE[width]), over, rows
         return self.maps[name]
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
@@ -158,7 +159,7 @@ class Model:
         k, s = keys[first], share[first]
         found = np.zeros((len(k), width))
         for at in np.split(np.arange(len(k)), np.flatnonzero(np.diff(s)) + 1) if len(k) else []:
-            high, low, rows = self._table(f"{prefix}-{s[at[0]]}", values, width)
+            high, low, *coded = self._table(f"{prefix}-{s[at[0]]}", values, width)
             h, l_ = _halves(k[at])
             place = np.searchsorted(high, h)
             while len(at):  # on along equal first halves
@@ -167,7 +168,7 @@ class Model:
                 same = high[place] == h
                 at, h, l_, place = at[same], h[same], l_[same], place[same]
                 hit = low[place] == l_
-                found[at[hit]] = rows[place[hit]]
+                found[at[hit]] = _decoded(*coded, place[hit])
                 at, h, l_, place = at[~hit], h[~hit], l_[~hit], place[~hit] + 1
         out = np.empty((len(keys), width))
         out[order] = np.repeat(found, np.diff(np.append(first, len(keys))), axis=0)
@@ -261,6 +262,42 @@ def _narrow(values: np.ndarray) -> np.ndarray:
     return values.astype(np.min_scalar_type(int(values.max(initial=0))))
 
 
+#: Type of a code of values of such a width; its largest value stands for those that have none.
+_CODE = {1: np.uint8, 4: np.uint16}
+
+
+def _coded(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of counts or of rows ``(sum, n1, n2, n3)``, the places of those that have none, and these.
+
+    Up to 254 a count is its own code. A row's has four bits for n1, two each for n2 and n3 and a byte for what the
+    sum is above ``n1 + 2 n2 + 3 n3``.
+    """
+    values = values.reshape(len(values), -1)
+    if values.shape[1] == 1:
+        fits, code = values[:, 0] < 255, values[:, 0]
+    else:
+        total, n1, n2, n3 = values.T
+        more = total - n1 - 2 * n2 - 3 * n3
+        fits, code = (n1 < 16) & (n2 < 4) & (n3 < 4) & (more < 255), n1 << 12 | n2 << 10 | n3 << 8 | more
+    kind = _CODE[values.shape[1]]
+    over = np.flatnonzero(~fits)
+    return np.where(fits, code, np.iinfo(kind).max).astype(kind), over.astype(np.uint32), _narrow(values[over])
+
+
+def _decoded(code: np.ndarray, over: np.ndarray, rows: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The rows of values at these places."""
+    own = code[place].astype(np.int64)
+    if code.dtype == np.uint8:
+        out = own[:, None]
+    else:
+        n1, n2, n3 = own >> 12, own >> 10 & 3, own >> 8 & 3
+        out = np.stack([n1 + 2 * n2 + 3 * n3 + (own & 255), n1, n2, n3], 1)
+    none = np.flatnonzero(own == np.iinfo(code.dtype).max)
+    if len(none):
+        out[none] = rows[np.searchsorted(over, place[none].astype(np.uint32))]
+    return out
+
+
 def train(documents: DataFrame, order: int = 3) -> Model:
     """Count ``documents`` (``text``) and write the model of ``order`` (2 or more)."""
     spark = documents.sparkSession
@@ -281,7 +318,7 @@ def train(documents: DataFrame, order: int = 3) -> Model:
                 held.clear()
         yield flush()
 
-    words = materialize(texts.mapInArrow(count_words, "word long, c long").groupBy("word").agg(F.sum("c").alias("c")))
+    words = materialize(texts.mapInArrow(count_words, "word long, c long").groupBy("word").agg(F.sum("c").alias("c")), clean=True)
     vocabulary, tokens = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0))).first()
     kind = "u4" if tokens < 2**32 else "u8"
     facts = {"vocabulary": vocabulary, "tokens": tokens, "kind": kind, "order": order, "n_shares": 1, "pairs": 0, "discounts": {n: (0.5,) * 3 for n in range(1, order + 1)}, "low_rest": 0.0}
@@ -304,7 +341,7 @@ def train(documents: DataFrame, order: int = 3) -> Model:
             os.pwrite(f.fileno(), h[order].tobytes(), 8 * begin)
         return pa.table({"id": np.arange(begin, begin + len(h)), "c": table["c"].to_numpy()[order]})
 
-    counted = materialize(shared.groupBy("share").applyInArrow(write_words, "id long, c long"))
+    counted = materialize(shared.groupBy("share").applyInArrow(write_words, "id long, c long"), clean=True)
     discard(words)
     n_shares = max(1, -(-tokens // SHARE))
     facts["n_shares"] = n_shares
@@ -347,7 +384,7 @@ def train(documents: DataFrame, order: int = 3) -> Model:
 
             def put(name: str, hashes: np.ndarray, values: np.ndarray, kind: str) -> None:
                 by = np.argsort(hashes)
-                for part, data in zip(("high", "low", kind), (*_halves(hashes[by]), _narrow(values[by])), strict=True):
+                for part, data in zip(("high", "low", kind, f"{kind}.over", f"{kind}.rows"), (*_halves(hashes[by]), *_coded(values[by])), strict=True):
                     _replace(f"{folder}/{name}-{k}.{part}", data)
 
             put(f"g{n}", _stored(keys[-1], n), counts, "counts")
@@ -375,8 +412,10 @@ def train(documents: DataFrame, order: int = 3) -> Model:
 
     rows = texts.mapInArrow(count_grams, shape)
     for n in range(order, 1, -1):
-        rows = rows.groupBy("share").applyInArrow(write_level(n), shape)
-    sums = materialize(rows.groupBy("id").agg(*[F.sum(c).alias(c) for c in ("n1", "n2", "n3", "total", "cont")]))
+        longer, rows = rows, materialize(rows.groupBy("share").applyInArrow(write_level(n), shape), clean=True)
+        discard(longer)
+    sums = materialize(rows.groupBy("id").agg(*[F.sum(c).alias(c) for c in ("n1", "n2", "n3", "total", "cont")]), clean=True)
+    discard(rows)
     notes = {-r["id"]: r for r in sums.where("id < 0").collect()}  # one a level
     counts = [F.count(F.when(F.col("cont") == k, 1)) for k in (1, 2, 3, 4)] + [F.count(F.when(F.col("cont") > 2, 1)), F.sum("cont")]
     m1, m2, m3, m4, more, total = sums.where("id >= 0").agg(*counts).first()

@@ -1,11 +1,15 @@
+import glob
 import math
+import os
 import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from hardwood.llm import kneser_ney
 from hardwood.llm.kneser_ney import discounts, held_out_scores
+from hardwood.llm.storage import CLEAN
 
 
 def brute(rows, order=3):
@@ -72,3 +76,26 @@ def test_nulls_long_texts_and_no_training(docs, spark):
     none = held_out_scores(spark.createDataFrame([(None, "a b")], "doc_id long, text string")).collect()[0]
     assert none.train_tokens == 0 and none.score == 0 and none.held_out is False
     assert held_out_scores(docs("x").where("false")).collect() == []
+
+
+def test_codes_of_counts_and_sums():
+    """Round trip, with those that have no code."""
+    counts = np.array([1, 2, 254, 255, 256, 70_000, 3], np.int64)
+    rows = np.array([(1, 1, 0, 0), (15, 15, 0, 0), (16, 16, 0, 0), (29, 15, 3, 1), (8, 0, 4, 0), (15 + 6 + 9 + 254, 15, 3, 3), (15 + 6 + 9 + 255, 15, 3, 3), (90_000, 1, 0, 2)], np.int64)
+    for values in (counts, rows):
+        back = kneser_ney._decoded(*kneser_ney._coded(values), np.arange(len(values))[::-1])
+        assert (back[::-1] == values.reshape(len(values), -1)).all()
+    assert len(kneser_ney._coded(counts)[1]) == 3 and kneser_ney._coded(rows)[1].tolist() == [2, 4, 6, 7]
+
+
+def test_model_and_shuffles_take_little_disk(spark):
+    """A byte a count, two a context, and no shuffle file left by training."""
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    tracker = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    spark._jvm.System.gc()
+    before = tracker.shuffleStatuses().size()
+    model = kneser_ney.train(df)
+    sizes = {part: [os.path.getsize(f) for f in sorted(glob.glob(f"{model.folder}/{part}"))] for part in ("g3-*.low", "g3-*.counts", "x3-*.low", "x3-*.sums")}
+    assert sizes["g3-*.low"] == [2 * n for n in sizes["g3-*.counts"]] and sizes["x3-*.low"] == sizes["x3-*.sums"]
+    assert tracker.shuffleStatuses().size() <= before + 4  # those of a few small counts
+    assert spark.conf.get(CLEAN) == "false"
