@@ -150,14 +150,14 @@ class Model:
         at[at == len(table)] = 0
         return np.where(table[at] == sorted_keys, at, -1)
 
-    def look_up(self, prefix: str, values: str, width: int, keys: np.ndarray, share: np.ndarray) -> np.ndarray:
-        """Rows of values of keys; zeros where there is none."""
+    def look_up(self, prefix: str, values: str, width: int, keys: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of values of the different keys, zeros where there is none, and the row of each key."""
         order = np.argsort(keys)
         order = order[np.argsort(share[order], kind="stable")]
         keys, share = keys[order], share[order]
         first = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (share[1:] != share[:-1]))) if len(keys) else np.empty(0, np.int64)
         k, s = keys[first], share[first]
-        found = np.zeros((len(k), width))
+        found = np.zeros((len(k), width), self.facts["kind"])
         for at in np.split(np.arange(len(k)), np.flatnonzero(np.diff(s)) + 1) if len(k) else []:
             high, low, *coded = self._table(f"{prefix}-{s[at[0]]}", values, width)
             h, l_ = _halves(k[at])
@@ -170,9 +170,9 @@ class Model:
                 hit = low[place] == l_
                 found[at[hit]] = _decoded(*coded, place[hit])
                 at, h, l_, place = at[~hit], h[~hit], l_[~hit], place[~hit] + 1
-        out = np.empty((len(keys), width))
-        out[order] = np.repeat(found, np.diff(np.append(first, len(keys))), axis=0)
-        return out
+        back = np.empty(len(keys), np.int64)
+        back[order] = np.repeat(np.arange(len(k)), np.diff(np.append(first, len(keys))))
+        return found, back
 
     def log10(self, ids: list[np.ndarray]) -> np.ndarray:
         """log10 of P(the last | the others); ``order`` columns of ids, -1 where unseen."""
@@ -189,16 +189,21 @@ class Model:
             own = ids[-n:]
             context = np.all([x >= 0 for x in own[:-1]], axis=0)
             both = context & (last >= 0)
-            sums, count = np.zeros((len(last), 4)), np.zeros(len(last))
+            total, rest, count = np.zeros((3, len(last)))
             keys = gram_keys([np.maximum(x, 0) for x in own])
             share = shares_of(keys, f["n_shares"])
-            count[both] = self.look_up(f"g{n}", "counts", 1, _stored(keys[-1], n)[both], share[both])[:, 0]
+            found, back = self.look_up(f"g{n}", "counts", 1, _stored(keys[-1], n)[both], share[both])
+            count[both] = found[back, 0]
             if n == 2:
-                sums[context] = np.asarray(self.words[own[0][context]][:, [4, 1, 2, 3]], np.float64)
+                found, back = self.words, own[0][context]
+                total[context] = found[back, 4]
+                rest[context] = sum(found[back, k] * d[k - 1] for k in (1, 2, 3))
             else:
-                sums[context] = self.look_up(f"x{n}", "sums", 4, _stored(keys[-2], n - 1)[context], share[context])
-            seen = sums[:, 0] > 0
-            high = (np.maximum(count - _discount(d, count), 0) + (sums[:, 1] * d[0] + sums[:, 2] * d[1] + sums[:, 3] * d[2]) * p) / np.where(seen, sums[:, 0], 1)
+                found, back = self.look_up(f"x{n}", "sums", 4, _stored(keys[-2], n - 1)[context], share[context])
+                total[context] = found[back, 0]
+                rest[context] = sum(found[:, k] * d[k - 1] for k in (1, 2, 3))[back]
+            seen = total > 0
+            high = (np.maximum(count - _discount(d, count), 0) + rest * p) / np.where(seen, total, 1)
             p = np.where(seen, high, p)
         return np.log10(p)
 
@@ -226,36 +231,50 @@ def _columns(ids: np.ndarray, at: np.ndarray, start: int, order: int) -> list[np
     return columns
 
 
-def _packed(columns: list[np.ndarray], counts: np.ndarray, share: np.ndarray, n_shares: int) -> Iterator[tuple[int, bytes]]:
-    """Each share's n-grams as compressed byte planes."""
+def _packed(columns: list[np.ndarray], counts: np.ndarray | None, share: np.ndarray, n_shares: int) -> Iterator[tuple[int, bytes]]:
+    """Each share's n-grams as compressed byte planes; without counts they may repeat and are counted here, a share at a time."""
     order = np.argsort(share, kind="stable")
-    ends = np.searchsorted(share[order], np.arange(n_shares + 1))
+    ends = np.searchsorted(share, np.arange(n_shares + 1), sorter=order)
     pack = zstandard.ZstdCompressor(level=1)
     for k in np.flatnonzero(np.diff(ends)):
         mine = order[ends[k] : ends[k + 1]]
-        mine = mine[np.lexsort([c[mine] for c in reversed(columns)])]  # like next to like
-        planes = [np.ascontiguousarray(x[mine].astype(t).view(np.uint8).reshape(len(mine), -1).T).tobytes() for x, t in [*((c, np.uint32) for c in columns), (counts, np.uint64)]]
+        own = [c[mine] for c in columns]
+        if counts is None:
+            own, _, count = _distinct(own, None)
+        else:
+            count = counts[mine]
+        by = np.lexsort(own[::-1])  # like next to like
+        planes = [np.ascontiguousarray(x[by].astype(t).view(np.uint8).reshape(len(by), -1).T).tobytes() for x, t in [*((c, np.uint32) for c in own), (count, np.uint64)]]
         yield int(k), pack.compress(b"".join(planes))
 
 
-def _unpacked(data: bytes, n: int) -> tuple[list[np.ndarray], np.ndarray]:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    size = len(raw) // (4 * n + 8)
-    planes = raw.reshape(-1, size)
-    column = lambda a, b, t: np.ascontiguousarray(planes[a:b].T).view(t).ravel()
-    return [column(4 * i, 4 * i + 4, np.uint32) for i in range(n)], column(4 * n, 4 * n + 8, np.uint64).astype(np.int64)
+def _unpacked(parts: list[bytes], n: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Columns and counts of all parts; each is unpacked into its place, so nothing is held twice."""
+    width = 4 * n + 8
+    ends = np.cumsum([0] + [zstandard.frame_content_size(x) // width for x in parts])
+    columns, counts = [np.empty(ends[-1], np.uint32) for _ in range(n)], np.empty(ends[-1], np.int64)
+    unpack = zstandard.ZstdDecompressor()
+    for x, a, b in zip(parts, ends[:-1], ends[1:], strict=True):
+        planes = np.frombuffer(unpack.decompress(x), np.uint8).reshape(width, -1)
+        for i, out in enumerate([*columns, counts]):
+            out[a:b] = np.ascontiguousarray(planes[4 * i : 4 * i + out.itemsize].T).view(out.dtype).ravel()
+    return columns, counts
 
 
 def _distinct(columns: list[np.ndarray], counts: np.ndarray | None) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """Columns, keys and summed counts of the different n-grams, sorted by key."""
+    """Columns, keys and summed counts of the different n-grams, sorted by key. The list of columns is used up."""
     keys = gram_keys(columns)
     order = np.argsort(keys[-1])
     key = keys[-1][order]
     first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
-    size = np.diff(np.append(first, len(key)))
-    total = size if counts is None else (np.add.reduceat(counts[order], first) if len(key) else counts)
-    at = order[first]
-    return [c[at] for c in columns], [k[at] for k in keys], total
+    del key
+    total = np.diff(np.append(first, len(order))) if counts is None else (np.add.reduceat(counts[order], first) if len(order) else counts)
+    order = order[first]
+    del first
+    for x in (columns, keys):
+        for i in range(len(x)):
+            x[i] = x[i][order]
+    return columns, keys, total
 
 
 def _narrow(values: np.ndarray) -> np.ndarray:
@@ -355,8 +374,8 @@ def train(documents: DataFrame, order: int = 3) -> Model:
         model, held, size = None, [], 0
 
         def flush():
-            columns, keys, counts = _distinct([np.concatenate(x) for x in zip(*held, strict=True)], None)
-            for k, data in _packed(columns, counts, shares_of(keys, n_shares), n_shares):
+            share, *columns = [np.concatenate([x.pop() for x in held]) for _ in range(order + 1)]  # from the last column on
+            for k, data in _packed(columns[::-1], None, share, n_shares):
                 yield from batch_of(1, share=[k], data=[data]).to_batches()
 
         for batch in pieces(batches):
@@ -364,7 +383,8 @@ def train(documents: DataFrame, order: int = 3) -> Model:
                 model = Model(folder, facts)
                 model.hashes = np.memmap(f"{folder}/vocabulary", U, "r")
             h, at = _tokens(batch)
-            held.append([x.astype(np.uint32) for x in _columns(model.ids(h), at, vocabulary, order)])
+            columns = [x.astype(np.uint32) for x in _columns(model.ids(h), at, vocabulary, order)]
+            held.append([*columns, shares_of(gram_keys(columns), n_shares).astype(np.uint32)])
             size += len(h)
             if size > HELD:
                 yield from flush()
@@ -379,8 +399,7 @@ def train(documents: DataFrame, order: int = 3) -> Model:
             k = key[0].as_py()
             if k < 0:
                 return table
-            parts = [_unpacked(x.as_py(), n) for x in table["data"]]
-            columns, keys, counts = _distinct([np.concatenate(x) for x in zip(*[c for c, _ in parts], strict=True)], np.concatenate([c for _, c in parts]))
+            columns, keys, counts = _distinct(*_unpacked(table["data"].to_pylist(), n))
 
             def put(name: str, hashes: np.ndarray, values: np.ndarray, kind: str) -> None:
                 by = np.argsort(hashes)
@@ -390,14 +409,18 @@ def train(documents: DataFrame, order: int = 3) -> Model:
             put(f"g{n}", _stored(keys[-1], n), counts, "counts")
             of = [int((counts == c).sum()) for c in (1, 2, 3, 4)]
             out = [batch_of(1, share=[-1], id=[-n], n1=[of[0]], n2=[of[1]], n3=[of[2]], total=[of[3]], cont=[0])]
-            flags = [counts, counts == 1, counts == 2, counts > 2]
             by = keys[-2] if n > 2 else columns[0]
+            del keys
             order_ = np.argsort(by, kind="stable")
-            begin = np.flatnonzero(np.append(True, np.diff(by[order_].astype(U)) != 0))
-            sums = [np.add.reduceat(x[order_].astype(np.int64), begin) for x in flags]
-            context = by[order_][begin]
+            by = by[order_]
+            begin = np.flatnonzero(np.append(True, by[1:] != by[:-1]))
+            context, counts = by[begin], counts[order_]
+            del by, order_
+            sums = [np.add.reduceat(x, begin, dtype=np.int64) for x in (counts, counts == 1, counts == 2, counts > 2)]
+            del begin, counts
             if n > 2:
                 put(f"x{n}", _stored(context, n - 1), np.stack(sums, 1), "sums")
+                del sums, context
                 shorter, short_keys, conts = _distinct(columns[1:], None)
                 packed = list(_packed(shorter, conts, shares_of(short_keys, n_shares), n_shares))
                 out.append(batch_of(len(packed), share=[p[0] for p in packed], data=[p[1] for p in packed]))

@@ -2,6 +2,7 @@ import glob
 import math
 import os
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -99,3 +100,20 @@ def test_model_and_shuffles_take_little_disk(spark):
     assert sizes["g3-*.low"] == [2 * n for n in sizes["g3-*.counts"]] and sizes["x3-*.low"] == sizes["x3-*.sums"]
     assert tracker.shuffleStatuses().size() <= before + 4  # those of a few small counts
     assert spark.conf.get(CLEAN) == "false"
+
+
+def test_tasks_hold_few_bytes_an_ngram():
+    """Counting a flush, reading a share and look-ups keep no second copy of what they hold."""
+    rnd, n = np.random.default_rng(3), 400_000
+    columns = [rnd.integers(0, 400, n).astype(np.uint32) for _ in range(3)]
+    share = kneser_ney.shares_of(kneser_ney.gram_keys(columns), 16).astype(np.uint32)
+    want = Counter(zip(*[c.tolist() for c in columns], strict=True))
+    tracemalloc.start()
+    parts = [data for _, data in kneser_ney._packed(columns, None, share, 16)]
+    flush = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    columns, keys, counts = kneser_ney._distinct(*kneser_ney._unpacked(parts, 3))
+    read = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert dict(zip(zip(*[c.tolist() for c in columns], strict=True), counts.tolist(), strict=True)) == want
+    assert flush < 40 * n and read < 100 * n, (flush / n, read / n)
