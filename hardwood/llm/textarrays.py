@@ -86,19 +86,14 @@ class Words:
         """A 64-bit hash of each word."""
         size = self.end - self.start
         h = size.astype(U) * _PRIME
-        live = np.flatnonzero(size <= _LONG)
-        pos, hl = self.start[live], h[live]
-        left = size[live]
-        for _ in range(_LONG):
-            go = left > 0
-            if not go.all():
-                h[live] = hl
-                live, pos, hl, left = live[go], pos[go], hl[go], left[go]
-            if not len(live):
-                break
-            hl = hl * _PRIME + _BYTE[self.data[pos]]
-            pos, left = pos + 1, left - 1
-        h[live] = hl
+        order = np.argsort(np.minimum(size, _LONG + 1).astype(np.uint8), kind="stable")
+        begin = np.searchsorted(size, np.arange(1, _LONG + 2), sorter=order)
+        pos, hl = self.start[order], h[order]
+        for k in range(_LONG):  # the words of more than k bytes
+            go = slice(begin[k], begin[_LONG])
+            hl[go] = hl[go] * _PRIME + _BYTE[self.data[pos[go]]]
+            pos[go] += 1
+        h[order] = hl
         for i in np.flatnonzero(size > _LONG):
             h[i] = U(int.from_bytes(hashlib.blake2b(self.data[self.start[i] : self.end[i]], digest_size=8).digest(), "little"))
         return mix(h)

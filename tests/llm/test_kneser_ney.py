@@ -117,3 +117,10 @@ def test_tasks_hold_few_bytes_an_ngram():
     tracemalloc.stop()
     assert dict(zip(zip(*[c.tolist() for c in columns], strict=True), counts.tolist(), strict=True)) == want
     assert flush < 40 * n and read < 100 * n, (flush / n, read / n)
+
+
+def test_sorted_places_is_a_stable_argsort():
+    rnd = np.random.default_rng(4)
+    for keys in (np.empty(0, np.uint64), np.array([7], np.uint32), rnd.integers(0, 9, 5000).astype(np.uint32), rnd.integers(0, 2**64, 5000, dtype=np.uint64),
+                 np.repeat(rnd.integers(0, 2**64, 700, dtype=np.uint64), 7), np.uint64(2**63) + rnd.integers(0, 5000, 5000).astype(np.uint64), np.full(9, 2**64 - 1, np.uint64)):
+        assert kneser_ney._sorted_places(keys).tolist() == np.argsort(keys, kind="stable").tolist()
