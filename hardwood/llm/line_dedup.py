@@ -86,9 +86,10 @@ def sketches(lines: DataFrame, *columns: str) -> DataFrame:
     # hashes below each place; plain columns are compiled, and small enough for the machine's compiler without the bands
     below = lambda k: ((F.array_position("_marked", F.lit(PLACES[k]).cast("long")) - 1 - k) % F.size("_s")).cast("int")
     d = d.select(*columns, "main", "_s", "_rows", "_ring", F.array(*[below(k) for k in range(ANCHORS)]).alias("_at"))
-    own = lambda at: F.xxhash64(*[F.get("_ring", at + F.least(F.lit(i), F.col("_rows") - 1)) for i in range(max(ROWS))])  # noqa: E731  the last one again where there are fewer rows
-    d = d.select(*columns, "main", F.when(F.size("_s") > F.col("_rows"), F.transform("_at", own)).otherwise(F.array_repeat(F.xxhash64("_s"), ANCHORS)).alias("_bands"))
-    return d.select(*columns, "main", *[F.get("_bands", F.lit(k)).alias(f"b{k}") for k in range(ANCHORS)])
+    # a slice is compiled too, where a function of each place would be interpreted
+    whole = F.size("_s") <= F.col("_rows")
+    own = lambda k: F.xxhash64(F.when(whole, F.col("_s")).otherwise(F.slice("_ring", F.get("_at", F.lit(k)) + 1, F.col("_rows"))))
+    return d.select(*columns, "main", *[own(k).alias(f"b{k}") for k in range(ANCHORS)])
 
 
 def _occurrences(documents: DataFrame) -> DataFrame:
@@ -99,13 +100,13 @@ def _occurrences(documents: DataFrame) -> DataFrame:
 
 
 def _texts(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(id, key, line)`` of the wanted ``(id, key, doc_id)``; a line is wanted from one document."""
+    """``(id, node, key, line)`` of the wanted ``(id, key, doc_id)``; a line is wanted from one document. ``node`` numbers the lines."""
     wanted = materialize(wanted.groupBy("doc_id").agg(F.collect_list("key").alias("wanted")))
     keys = wanted.agg(F.coalesce(F.sum(F.size("wanted")), F.lit(0))).first()[0]
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(_few(wanted, keys), "doc_id")
     rows = rows.select("wanted", F.explode(_split(F.col("text"))).alias("line")).select("wanted", F.btrim("line", F.lit(WHITE)).alias("line"))
     rows = rows.withColumn("key", _key(F.col("line"))).where(F.array_contains("wanted", F.col("key")))
-    lines = materialize(rows.select(F.xxhash64("key").alias("id"), "key", "line").dropDuplicates(["key"]))
+    lines = materialize(rows.select(F.xxhash64("key").alias("id"), "key", "line").dropDuplicates(["key"]).withColumn("node", F.monotonically_increasing_id()))
     discard(wanted)
     return lines
 
@@ -116,9 +117,9 @@ def _spread(df: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
-    """Of pairs of ids ``(a, b)``, the keys of those whose lines reach the threshold."""
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.struct("key", "line").alias("p")), "a").join(texts.select(F.col("id").alias("b"), F.struct("key", "line").alias("q")), "b")
-    both = _spread(both.select("p", "q")).select(F.col("p.key").alias("a"), F.col("q.key").alias("b"), shingles(F.col("p.line")).alias("x"), shingles(F.col("q.line")).alias("y"))
+    """Of pairs of ids ``(a, b)``, the nodes of those whose lines reach the threshold."""
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.struct("node", "line").alias("p")), "a").join(texts.select(F.col("id").alias("b"), F.struct("node", "line").alias("q")), "b")
+    both = _spread(both.select("p", "q")).select(F.col("p.node").alias("a"), F.col("q.node").alias("b"), shingles(F.col("p.line")).alias("x"), shingles(F.col("q.line")).alias("y"))
     both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("c"), (F.size("x") + F.size("y")).alias("t"))
     return both.where(F.col("c") * den >= (F.col("t") - F.col("c")) * num).select("a", "b")
 
@@ -171,7 +172,7 @@ def _links(documents: DataFrame, distinct: DataFrame, num: int, den: int) -> Dat
     # against the next few in an order by hash, which joins large groups, then all lines against each other
     marks = None
     for turn in range(3):
-        placed = texts.select("id", "key").join(found.withColumnRenamed("node", "key"), "key", "left").select("id", F.coalesce("component", "key").alias("component"))
+        placed = texts.select("id", "node").join(found, "node", "left").select("id", F.coalesce("component", "node").alias("component"))
         members = listed.join(placed, "id").select("band", "id", "component")
         mixed = materialize(members.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band"))
         members = materialize(members.join(mixed, "band"))
@@ -198,8 +199,11 @@ def _links(documents: DataFrame, distinct: DataFrame, num: int, den: int) -> Dat
         discard(new)
     if marks is not None:
         discard(marks)
-    discard(texts, links, listed)
-    return found
+    keys = texts.select("node", "key")
+    named = found.join(keys, "node").select("key", F.col("component").alias("node")).join(keys.withColumnRenamed("key", "component"), "node")
+    named = materialize(named.select(F.col("key").alias("node"), "component"))
+    discard(texts, links, listed, found)
+    return named
 
 
 def removed_lines(documents: DataFrame, num: int = 8, den: int = 10) -> DataFrame:

@@ -1,5 +1,7 @@
 import random
 
+from hardwood.llm import line_dedup
+from hardwood.llm.components import components
 from hardwood.llm.line_dedup import dedup_lines, line_report
 
 WS = " \t\n\x0b\x0c\r"
@@ -99,3 +101,13 @@ def test_near_copy_as_second_choice_and_with_few_equal_anchors(docs):
     want, links = brute(list(enumerate(texts)))
     assert len(links) == 5
     assert {r.doc_id: r.removed for r in line_report(docs(*texts)).collect() if r.removed} == want
+
+
+def test_components_are_found_by_number(docs, monkeypatch):
+    # minima of md5 keys need sorted aggregations, those of numbers do not
+    texts = [x for seed in (2182, 4332) for x in trio(seed)] + trio(4040)
+    want, _ = brute(list(enumerate(texts)))
+    kinds = []
+    monkeypatch.setattr(line_dedup, "components", lambda links: kinds.append(links.dtypes) or components(links))
+    assert {r.doc_id: r.removed for r in line_report(docs(*texts)).collect() if r.removed} == want
+    assert kinds and all(k == [("a", "bigint"), ("b", "bigint")] for k in kinds)
