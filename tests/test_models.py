@@ -248,3 +248,21 @@ def test_examples_are_ranked_once_for_a_market_and_bucket(spark):
     for r in d.collect():
         by.setdefault(r.query_id, set()).add((r.rank, r.example_id, r.score))
     assert len(by) == 600 and all(by[k] == by[k % 3] and len(by[k]) == 8 for k in by)
+
+
+def test_moments_are_exact_in_any_order(spark):
+    import random
+    from fractions import Fraction
+
+    from pyspark.sql import functions as F
+
+    from hardwood.functions.rates import moments
+
+    rng = random.Random(4)
+    groups = {k: [rng.randrange(60) for _ in range(rng.randrange(1, 40))] for k in range(60)}
+    df = spark.createDataFrame([(k, x) for k, v in groups.items() for x in v], "k long, x long").groupBy("k").agg(F.count("x").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
+    mean, variance = moments(F.col("n"), F.col("s"), F.col("q"))
+    for r in df.select("k", mean.alias("mean"), variance.alias("variance")).collect():
+        v = groups[r.k]
+        n, s, q = len(v), sum(v), sum(x * x for x in v)
+        assert r.mean == float(Fraction(s, n)) and r.variance == (float(Fraction(n * q - s * s, n * (n - 1))) if n > 1 else None)
