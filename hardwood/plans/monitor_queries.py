@@ -58,7 +58,11 @@ def target_markets(spark, sf):
     from pyspark.sql import Window
 
     kinds = q.select("market_key").distinct().withColumn("kind", F.dense_rank().over(Window.orderBy("market_key")))  # one row a market
-    t = q.groupBy("player_id", "market_key").agg(F.floor(F.avg("line_value")).cast("double").alias("line"), F.min("snapshot_id").alias("s")).join(F.broadcast(kinds), "market_key")
+    # lines are added up in order of the snapshots: how a table is split must not decide on which side of a whole line a mean falls
+    w = Window.partitionBy("player_id", "market_key").orderBy("snapshot_id").rowsBetween(Window.unboundedPreceding, 0)
+    so_far = q.select("player_id", "market_key", "snapshot_id", "line_value", F.sum("line_value").over(w).alias("sum"))
+    line = F.floor(F.max_by("sum", "snapshot_id") / F.nullif(F.count("line_value"), F.lit(0))).cast("double")
+    t = so_far.groupBy("player_id", "market_key").agg(line.alias("line"), F.min("snapshot_id").alias("s")).join(F.broadcast(kinds), "market_key")
     t = t.select((F.col("player_id") * 10 + F.col("kind")).alias("target_id"), F.array(F.concat(F.lit("Player"), F.col("player_id"))).alias("title_terms"), F.array().cast("array<string>").alias("player_terms"), F.array("market_key").alias("stat_terms"), F.array("line").alias("lines"), F.concat(F.lit("EV"), F.col("s") % 7).alias("hint"))
     m = q.select(F.col("snapshot_id").alias("market_id"), F.concat_ws(" ", F.concat(F.lit("player"), F.col("player_id")), "market_key", F.lit("over")).alias("text"), F.array(F.floor("line_value").cast("double")).alias("lines"), F.concat(F.lit("ev"), F.col("game_id")).alias("event"))
     return monitor.score_targets(t, m, 100).select("target_id", "market_id", "score", F.col("market_id").isNotNull().alias("matched"))

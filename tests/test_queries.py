@@ -60,3 +60,22 @@ def test_targets_meet_markets_by_their_title(spark):
     assert {r.target_id: (r.market_id, r.score, r.reasons) for r in best.collect()} == {
         0: (1, 125, "title,stat,line,event"), 1: (None, 0, "stat"), 2: (4, 125, "title,stat,line,event"), 3: (None, 0, "title"), 4: (None, 0, "title"), 9: (None, 0, "no market")}
     assert "_g#" in best._jdf.queryExecution().optimizedPlan().toString()  # not all targets with all markets of a line
+
+
+def test_lines_of_targets_are_added_in_order_of_snapshots(spark, tmp_path):
+    from hardwood.plans.monitor_queries import target_markets
+
+    values = [136.25, 108.3, 104.23, 7.34, 6.4, 79.27, 6.21]  # 63.99... in this order, 64 backwards
+    assert math.floor(sum_in(values) / 7) == 63 and math.floor(sum_in(values[::-1]) / 7) == 64
+    rows = [(i, 345, "error", x) for i, x in enumerate(values)] + [(90, 3450, "error", 63.5)]
+    df = spark.createDataFrame(rows[::-1], "event_id long, user_id long, event_type string, value double")
+    df = df.selectExpr("event_id", "timestamp_seconds(event_id) as ts", "user_id", "event_type", "value", "'' as props")
+    df.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    assert {r.target_id: r.market_id for r in target_markets(spark, str(tmp_path)).collect()} == {3451: 90, 34501: 90}
+
+
+def sum_in(values):
+    total = 0.0
+    for x in values:
+        total += x
+    return total
