@@ -103,8 +103,14 @@ def branch_mixture(rows: DataFrame, keys: list[str], quantiles: tuple[float, ...
     per = per.join(total, keys).withColumn("w", F.when(F.col("all") > 0, F.col("w") / F.col("all")).otherwise(1 / F.col("branches")))
     moments = per.groupBy(*keys).agg(F.max("branches").alias("branches"), F.sum(F.col("w") * F.col("mean")).alias("mean"), F.sum(F.col("w") * (F.col("variance") + F.col("mean") * F.col("mean"))).alias("second"),
                                      F.sum(F.col("w") * F.col("over")).alias("over_probability"))
-    steps = per.select(*keys, "w", F.posexplode(count_cdf(F.col("mean"), F.col("variance"), F.col("most"))).alias("_count", "_c")).groupBy(*keys, "_count").agg(F.sum(F.col("w") * F.col("_c")).alias("f"))
+    # branches of equal moments have one distribution function; a branch alone is its own mixture
+    alike = per.where("branches > 1").groupBy(*keys, "mean", "variance", "most").agg(F.sum("w").alias("w"))
+    cdf = count_cdf(F.col("mean"), F.col("variance"), F.col("most"))
+    steps = alike.select(*keys, "w", F.posexplode(cdf).alias("_count", "_c")).groupBy(*keys, "_count").agg(F.sum(F.col("w") * F.col("_c")).alias("f"))
     at = steps.groupBy(*keys).agg(*[F.min(F.when(F.col("f") >= q - 1e-12, F.col("_count"))).alias(f"p{round(100 * q)}") for q in quantiles])
+    below = lambda q: F.size(F.filter("_cdf", lambda c: c < q - 1e-12))
+    alone = per.where("branches = 1").select(*keys, cdf.alias("_cdf"))
+    at = at.unionByName(alone.select(*keys, *[F.when(below(q) < F.size("_cdf"), below(q)).alias(f"p{round(100 * q)}") for q in quantiles]))
     out = moments.join(at, keys)
     return out.select(*keys, "branches", "mean", (F.col("second") - F.col("mean") * F.col("mean")).alias("variance"), "over_probability", *[f"p{round(100 * q)}" for q in quantiles])
 

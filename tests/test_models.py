@@ -266,3 +266,18 @@ def test_moments_are_exact_in_any_order(spark):
         v = groups[r.k]
         n, s, q = len(v), sum(v), sum(x * x for x in v)
         assert r.mean == float(Fraction(s, n)) and r.variance == (float(Fraction(n * q - s * s, n * (n - 1))) if n > 1 else None)
+
+
+def test_branches_of_equal_moments_and_branches_alone_give_the_mixtures_quantiles(spark):
+    import math
+
+    from hardwood.operators import mixtures
+
+    games = {1: [(1.0, 6.0)], 2: [(0.25, 4.0), (0.25, 4.0), (0.5, 9.0)], 3: [(0.0, 3.0)]}
+    rows = spark.createDataFrame([(g, w, m, m, 5.5) for g, b in games.items() for w, m in b], "g long, weight double, mean double, variance double, line double")
+    out = mixtures.branch_mixture(rows, ["g"])
+    for r in out.collect():
+        b = [(w or 1.0, m) for w, m in games[r.g]]
+        f = [sum(w * sum(math.exp(-m) * m**i / math.factorial(i) for i in range(k + 1)) for w, m in b) for k in range(60)]
+        assert [r[f"p{q}"] for q in (10, 25, 50, 75, 90)] == [next(k for k in range(60) if f[k] >= q / 100) for q in (10, 25, 50, 75, 90)] and r.branches == len(b)
+    assert "Union" in out._jdf.queryExecution().optimizedPlan().toString()  # a game of one branch is not dealt out by counts
